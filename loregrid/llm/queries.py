@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregrid.llm import conversations
+from loregrid.llm import conversations, pair_defects
 from loregrid.session import table
 
 
@@ -15,8 +15,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("chat_id", "turn_no", "message_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defective(table(spark, folder, "examples"), table(spark, folder, "approved_data"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p4_found": p4_found}
 
 
 P1_FOUND = r"""
