@@ -195,7 +195,8 @@ def pair_defects(pairs: DataFrame, question: str, answer: str, fmt: str | None =
 
 def first_defect(pairs: DataFrame, question: str, answer: str, fmt: str | None = None) -> DataFrame:
     """The rows of pairs with a defect, with the first one as `defect`."""
-    found = pair_defects(pairs, question, answer, fmt).filter(F.size("defects") > 0)
+    # written first: a filter on the defects would otherwise sink below the rules and repeat every one of them
+    found = written(pair_defects(pairs, question, answer, fmt), "defects").filter(F.size("defects") > 0)
     return found.withColumn("defect", F.col("defects")[0]).drop("defects")
 
 
