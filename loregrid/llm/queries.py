@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregrid.llm import conversations, pair_defects
+from loregrid.llm import conversations, leakage, pair_defects
 from loregrid.session import table
 
 
@@ -19,8 +19,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects.defective(table(spark, folder, "examples"), table(spark, folder, "approved_data"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("item_id", "doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found}
 
 
 P1_FOUND = r"""
