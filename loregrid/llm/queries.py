@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loregrid.llm import conversations, leakage, pair_defects
+from loregrid.llm import conversations, leakage, pair_defects, spam
 from loregrid.session import table
 
 
@@ -24,8 +25,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("item_id", "doc_id").distinct()
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spam.judged(table(spark, folder, "documents"))
+    return pages.filter("spam").select(F.col("page").alias("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = r"""
