@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregrid.llm import conversations, leakage, packing, pair_defects, spam
+from loregrid.llm import boilerplate, conversations, leakage, packing, pair_defects, spam
 from loregrid.session import table
 
 
@@ -30,12 +30,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return pages.filter("spam").select(F.col("page").alias("doc_id"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = boilerplate.pages_of(table(spark, folder, "raw_data"), table(spark, folder, "crawled_pages"))
+    return boilerplate.boilerplate_lines(pages)
+
+
 def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = r"""
