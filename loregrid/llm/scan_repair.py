@@ -25,7 +25,11 @@ PAGE_BLOCK = 500
 HYPHENS = "-‐‑¬­"
 _BROKEN = rf"[{HYPHENS}]+\s*$"
 _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
-_NUMBER = rf"(?i)^[^\p{{L}}\p{{N}}]*(?:(?:page|seite|p|s|pág|página|pag)\.?\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*(?:/|of|von|sur|de)\s*\d{{1,4}})?[^\p{{L}}\p{{N}}.,;:]*$"
+_DIGITS = r"[\dlIO|!]{1,4}"
+_NUMBER = rf"(?i)^[^\p{{L}}\p{{N}}]*(?:(?:page|seite|p|s|pág|página|pag)\.?\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*(?:/|of|von|sur|de)\s*\d{{1,4}})?[^\p{{L}}\p{{N}}.,;:]*$|^[^\p{{L}}\p{{N}}]*(?:page|seite|página|pág)\.? +{_DIGITS}(?: +(?:/|of|von|sur|de) +{_DIGITS})?[^\p{{L}}\p{{N}}.,;:]*$|^\W*[lIO]{{2,3}}\W*$"
+# a title with a page number set apart from it
+_NUMBERED = rf"^\s*{_DIGITS}\s{{2,}}\p{{Lu}}.*[^.,;:]$|^\s*\p{{Lu}}.*[^.,;:]\s(?:\s+|[/|·–-] ){_DIGITS}\s*$"
+_TITLE = r"^\s*(?:\d+\. )?[\p{Lu}�*|~^_][^.!?;]{2,70}$"
 _BAD_NUMBER = r"^[^\p{L}\p{N}]*(?=[^ ]*[0-9|!vxiVXI])[0-9lIOoS|!vxciVX·~^*'�]{1,7}[^\p{L}\p{N}.,;:]*$"
 _STRAY = r"(?<=\p{L})[·*|~^_�!¦§°¨`´](?=\p{L})|�|(?<=\s)[~^|_¦¬`´](?=\s)|(?<=\p{L})[|~^_�](?=[\s.,;]|$)|(?:^|(?<=\s))[|~^_](?=\p{L})"
 _MIXED = r"(?:^|\s)(?:\d+[lIO|]+\d*|[lIO|]+\d+)(?=[\s.,;]|$)"
@@ -65,7 +69,8 @@ def _running(lines: DataFrame) -> DataFrame:
     edge = lines.filter((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE))
     t = F.trim("text")
     number = t.rlike(_NUMBER) | (t.rlike(_BAD_NUMBER) & (F.length(t) <= 12))
-    edge = edge.withColumns({"number": number & (F.length(t) <= 24), "key": masked(F.col("text")), "zone": F.when(F.col("top") <= F.col("bottom"), "top").otherwise("bottom")})
+    numbered = t.rlike(_NUMBERED) & (F.least("top", "bottom") <= 2) & (F.length(t) <= 80)
+    edge = edge.withColumns({"number": (number & (F.length(t) <= 24)) | numbered, "key": masked(F.col("text")), "zone": F.when(F.col("top") <= F.col("bottom"), "top").otherwise("bottom")})
     edge = written(edge, "page-edges")
     keys = edge.filter((F.length("key") >= 3) & ~F.col("number")).select("pdf_id", "zone", "key", "page_number").distinct()
     keys = keys.groupBy("pdf_id", "zone", "key").agg(F.count("*").alias("pages")).filter("pages >= 2").select("pdf_id", "zone", F.col("key").alias("header"))
@@ -78,21 +83,42 @@ def _running(lines: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _next_lines(text: DataFrame) -> DataFrame:
-    """text with `next`, the line of text that follows it, on the same page or the next one of the file that has any.
+def _with_neighbours(text: DataFrame) -> DataFrame:
+    """text with `before` and `after`: the last line of text of the page before, the first of the page after.
 
-    A page scanned twice goes on with the next page as the first scan does; only first scans follow other pages.
+    Pages of a file that have text follow each other whatever their numbers; of a page scanned twice the first scan
+    counts. Windows run over blocks of pages, and one row for each block tells how it begins and ends.
     """
-    page = Window.partitionBy("pdf_id", "page_number", "page_id").orderBy("line_no")
-    text = text.withColumn("next", F.lead("text").over(page)).withColumn("first", F.row_number().over(page) == 1)
-    starts = text.filter("first").groupBy("pdf_id", "page_number").agg(F.min_by("text", "page_id").alias("start"))
-    starts = starts.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK))
+    ends = text.groupBy("pdf_id", "page_number").agg(
+        F.min_by("text", F.struct("page_id", "line_no")).alias("head"), F.max_by("text", F.struct(-F.col("page_id"), F.col("line_no"))).alias("tail")
+    )
+    ends = ends.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK))
     inside = Window.partitionBy("pdf_id", "block").orderBy("page_number")
-    starts = starts.withColumn("after", F.lead("start").over(inside))
-    blocks = starts.groupBy("pdf_id", "block").agg(F.min_by("start", "page_number").alias("head"))
-    blocks = blocks.withColumn("later", F.lead("head").over(Window.partitionBy("pdf_id").orderBy("block"))).drop("head")
-    starts = starts.join(blocks, ["pdf_id", "block"]).select("pdf_id", "page_number", F.coalesce("after", "later").alias("after"))
-    return text.join(starts, ["pdf_id", "page_number"], "left").withColumn("next", F.coalesce("next", "after")).drop("after", "first")
+    ends = ends.withColumns({"after": F.lead("head").over(inside), "before": F.lag("tail").over(inside)})
+    blocks = ends.groupBy("pdf_id", "block").agg(F.min_by("head", "page_number").alias("b_head"), F.max_by("tail", "page_number").alias("b_tail"))
+    by_block = Window.partitionBy("pdf_id").orderBy("block")
+    blocks = blocks.select("pdf_id", "block", F.lead("b_head").over(by_block).alias("later"), F.lag("b_tail").over(by_block).alias("earlier"))
+    ends = ends.join(blocks, ["pdf_id", "block"]).select("pdf_id", "page_number", F.coalesce("after", "later").alias("after"), F.coalesce("before", "earlier").alias("before"))
+    return text.join(ends, ["pdf_id", "page_number"], "left")
+
+
+def _interrupting(text: DataFrame) -> DataFrame:
+    """(page_id, line_no) of titles at the edge of a page in the midst of a sentence: headers that no other page repeats."""
+    page = Window.partitionBy("pdf_id", "page_number", "page_id").orderBy("line_no")
+    lines = text.withColumns({"up": F.lag("text").over(page), "down": F.lead("text").over(page)})
+    lines = _with_neighbours(lines.filter("(up IS NULL OR down IS NULL) OR top <= 2"))
+    title = F.col("text").rlike(_TITLE)
+    open_ = lambda c: F.col(c).isNotNull() & ~F.col(c).rlike(r"[.!?:…][\"'»”)]*\s*$")
+    goes_on = lambda c: F.col(c).rlike(r"^\s*\p{Ll}")
+    top = F.col("up").isNull() & title & open_("before") & goes_on("down") & ~F.col("before").rlike(_TITLE)
+    bottom = F.col("down").isNull() & title & open_("up") & goes_on("after") & ~F.col("up").rlike(_TITLE)
+    return lines.filter(top | bottom).select("page_id", "line_no")
+
+
+def _next_lines(text: DataFrame) -> DataFrame:
+    """text with `next`, the line of text that follows it, on the same page or the next one of the file that has any."""
+    page = Window.partitionBy("pdf_id", "page_number", "page_id").orderBy("line_no")
+    return _with_neighbours(text).withColumn("next", F.coalesce(F.lead("text").over(page), "after")).drop("after", "before")
 
 
 _OUTER = r"^[\s\"'«»“”„‚‘’(\[¿¡]+|[\s.,;:?\"«»“”‘’)\]…]+$"
@@ -128,8 +154,11 @@ def misread_forms(words: DataFrame) -> DataFrame:
 def analysed(pages: DataFrame) -> DataFrame:
     """Each line with what was found: running, split (it ends inside a word), joined (that word), fixes (word, form) and misread."""
     lines = written(lines_of(pages), "page-lines")
-    running = _running(lines).withColumn("running", F.lit(True))
+    running = written(_running(lines), "running-lines")
+    more = _interrupting(lines.join(running, ["page_id", "line_no"], "left_anti"))
+    running = running.unionByName(more).withColumn("running", F.lit(True))
     lines = lines.join(running, ["page_id", "line_no"], "left").withColumn("running", F.coalesce("running", F.lit(False)))
+    lines = written(lines, "marked-lines")
     text = written(_next_lines(lines.filter("NOT running")), "text-lines")
     words = written(vocabulary(text), "page-words")
     forms = written(misread_forms(words), "misread-forms")
