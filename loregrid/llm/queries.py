@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregrid.llm import boilerplate, conversations, leakage, packing, pair_defects, scan_repair, spam
+from loregrid.llm import boilerplate, conversations, history_dedup, leakage, packing, pair_defects, scan_repair, spam
 from loregrid.session import table
 
 
@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("chat_id", "turn_no", "message_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history_dedup.repeated_pages(table(spark, folder, "raw_data"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_repair.found(table(spark, folder, "pdf_pages"))
 
@@ -44,7 +48,7 @@ def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = r"""
