@@ -91,7 +91,7 @@ class FuzzyAgent:
         kb = self.kb.select("idx", F.lower("input").alias("k")).filter("k IS NOT NULL")
         texts = kb.select("k").distinct().withColumn("m", F.char_length("k"))
         # where piece i of t + 1 begins, and its first characters
-        begins = F.transform(F.sequence(F.lit(0), F.col("t")), lambda i: F.floor(i * F.col("n") / (F.col("t") + 1)).cast("int"))
+        begins = F.transform(F.sequence(F.lit(0), F.least("t", "n")), lambda i: F.floor(i * F.col("n") / (F.col("t") + 1)).cast("int"))
         ends = lambda i: F.floor((i + 1) * F.col("n") / (F.col("t") + 1)).cast("int")
         piece = F.transform(begins, lambda b, i: F.struct(b.alias("at"), F.substring("q", b + 1, F.least(F.lit(self.PROBE), ends(i) - b)).alias("key")))
         by_piece = q.filter("t < n").select("q", "t", "n", F.inline(piece))
@@ -100,7 +100,9 @@ class FuzzyAgent:
         near = (F.abs(F.col("p") - F.col("at")) <= F.col("t")) & (F.abs(F.col("m") - F.col("n")) <= F.col("t"))
         pairs = by_piece.join(grams, "key").filter(near).select("q", "t", "k").distinct()
         # queries that may change altogether: all lengths within the bound
-        lengths = q.filter("t >= n").select("q", "t", F.explode(F.sequence(F.lit(0), F.least(F.col("n").cast("bigint") + F.col("t"), F.lit(4096)).cast("int"))).alias("m"))
+        longest = texts.agg(F.coalesce(F.max("m"), F.lit(0)).alias("m")).scalar()
+        reach = F.least(F.col("n").cast("bigint") + F.col("t"), longest).cast("int")
+        lengths = q.filter("t >= n").select("q", "t", F.explode(F.sequence(F.lit(0), reach)).alias("m"))
         pairs = pairs.unionByName(lengths.join(texts, "m").select("q", "t", "k")).withColumn("distance", F.levenshtein("q", "k"))
         good = pairs.filter(F.col("distance") <= F.col("t"))
         ids = q.select("q", "t", F.explode("ids").alias("query_id"))

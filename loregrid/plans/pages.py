@@ -88,14 +88,14 @@ def bad_refs(s, d):
 
 
 def page_hosts(s, d):
-    host = F.lower(F.parse_url("url", F.lit("HOST")))
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
     return table(s, d, "crawled_pages").select(host.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
 
 
 def page_links(s, d):
     """Pages of one host as links in the order of ids: what each page would reach at depth one, with duplicates kept."""
-    rows = table(s, d, "crawled_pages").select("page_id", "url", F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"))
-    path = F.parse_url("url", F.lit("PATH"))
+    rows = table(s, d, "crawled_pages").select("page_id", "url", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"))
+    path = F.try_parse_url("url", F.lit("PATH"))
     return rows.select("page_id", "host", path.alias("path"), F.size(F.filter(F.split(path, "/"), lambda x: x != "")).alias("depth"))
 
 

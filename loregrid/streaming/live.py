@@ -22,7 +22,7 @@ def fresh_rows(stream: DataFrame, hash_column: str, time_column: str | None = No
     """The first row of each hash; with a time column, state older than `late` is let go."""
     if time_column is None:
         return stream.dropDuplicates([hash_column])
-    return stream.withWatermark(time_column, late).dropDuplicatesWithinWatermark([hash_column])
+    return stream.withColumn(time_column, F.col(time_column).cast("timestamp")).withWatermark(time_column, late).dropDuplicatesWithinWatermark([hash_column])
 
 
 def running_context(turns: DataFrame, n: int) -> DataFrame:
@@ -59,4 +59,4 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events by type and window of time, late rows within the watermark included."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
