@@ -24,6 +24,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_repair.found(table(spark, folder, "pdf_pages"))
 
 
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.paragraphs(table(spark, folder, "pdf_pages"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects.defective(table(spark, folder, "examples"), table(spark, folder, "approved_data"))
 
@@ -48,7 +52,7 @@ def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = r"""

@@ -84,13 +84,14 @@ def _running(lines: DataFrame) -> DataFrame:
 
 
 def _with_neighbours(text: DataFrame) -> DataFrame:
-    """text with `before` and `after`: the last line of text of the page before, the first of the page after.
+    """text with `before` and `after`: the last line of text of the page before, the first of the page after (and where it is).
 
     Pages of a file that have text follow each other whatever their numbers; of a page scanned twice the first scan
     counts. Windows run over blocks of pages, and one row for each block tells how it begins and ends.
     """
     ends = text.groupBy("pdf_id", "page_number").agg(
-        F.min_by("text", F.struct("page_id", "line_no")).alias("head"), F.max_by("text", F.struct(-F.col("page_id"), F.col("line_no"))).alias("tail")
+        F.min_by(F.struct("text", "page_id", "line_no"), F.struct("page_id", "line_no")).alias("head"),
+        F.max_by("text", F.struct(-F.col("page_id"), F.col("line_no"))).alias("tail"),
     )
     ends = ends.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK))
     inside = Window.partitionBy("pdf_id", "block").orderBy("page_number")
@@ -98,7 +99,8 @@ def _with_neighbours(text: DataFrame) -> DataFrame:
     blocks = ends.groupBy("pdf_id", "block").agg(F.min_by("head", "page_number").alias("b_head"), F.max_by("tail", "page_number").alias("b_tail"))
     by_block = Window.partitionBy("pdf_id").orderBy("block")
     blocks = blocks.select("pdf_id", "block", F.lead("b_head").over(by_block).alias("later"), F.lag("b_tail").over(by_block).alias("earlier"))
-    ends = ends.join(blocks, ["pdf_id", "block"]).select("pdf_id", "page_number", F.coalesce("after", "later").alias("after"), F.coalesce("before", "earlier").alias("before"))
+    ends = ends.join(blocks, ["pdf_id", "block"]).select("pdf_id", "page_number", F.coalesce("after", "later").alias("_after"), F.coalesce("before", "earlier").alias("before"))
+    ends = ends.withColumns({"after": F.col("_after.text"), "after_at": F.struct("_after.page_id", "_after.line_no")}).drop("_after")
     return text.join(ends, ["pdf_id", "page_number"], "left")
 
 
@@ -118,7 +120,9 @@ def _interrupting(text: DataFrame) -> DataFrame:
 def _next_lines(text: DataFrame) -> DataFrame:
     """text with `next`, the line of text that follows it, on the same page or the next one of the file that has any."""
     page = Window.partitionBy("pdf_id", "page_number", "page_id").orderBy("line_no")
-    return _with_neighbours(text).withColumn("next", F.coalesce(F.lead("text").over(page), "after")).drop("after", "before")
+    down = F.lead(F.struct("page_id", "line_no")).over(page)
+    text = _with_neighbours(text).withColumns({"next": F.coalesce(F.lead("text").over(page), "after"), "next_at": F.coalesce(down, "after_at")})
+    return text.drop("after", "after_at", "before")
 
 
 _OUTER = r"^[\s\"'«»“”„‚‘’(\[¿¡]+|[\s.,;:?\"«»“”‘’)\]…]+$"
@@ -152,7 +156,7 @@ def misread_forms(words: DataFrame) -> DataFrame:
 
 
 def analysed(pages: DataFrame) -> DataFrame:
-    """Each line with what was found: running, split (it ends inside a word), joined (that word), fixes (word, form) and misread."""
+    """Each line with what was found: running, split (it ends inside a word), joined (that word), fixes (raw, fixed), misread, starts_inside."""
     lines = written(lines_of(pages), "page-lines")
     running = written(_running(lines), "running-lines")
     more = _interrupting(lines.join(running, ["page_id", "line_no"], "left_anti"))
@@ -183,21 +187,23 @@ def analysed(pages: DataFrame) -> DataFrame:
     ends = written(ends, "line-ends")
     text = text.join(ends.select("page_id", "line_no", "split", "joined"), ["page_id", "line_no"], "left").fillna(False, ["split"])
     # misread words: strays are seen at once, other forms by the vocabulary; halves of broken words are no words
-    begun = ends.filter("split").select(F.col("page_id"), F.col("line_no"), F.lit(True).alias("cut"))
     parts = F.split(F.trim("text"), r"\s+")
-    page = Window.partitionBy("pdf_id", "page_number", "page_id").orderBy("line_no")
-    text = text.withColumn("starts_inside", F.coalesce(F.lag("split").over(page), F.lit(False)))
+    inside = text.filter("split").select(F.col("next_at.page_id").alias("page_id"), F.col("next_at.line_no").alias("line_no")).distinct()
+    text = text.join(inside.withColumn("starts_inside", F.lit(True)), ["page_id", "line_no"], "left").fillna(False, ["starts_inside"])
     text = written(text.withColumn("stray", F.col("text").rlike(_STRAY) | F.col("text").rlike(_MIXED)), "split-lines")
     tokens = text.select("page_id", "line_no", F.posexplode(parts).alias("at", "raw"), F.size(parts).alias("of"), "split", "starts_inside", "top")
-    tokens = tokens.filter(~(F.col("split") & (F.col("at") == F.col("of") - 1)) & ~((F.col("starts_inside") | (F.col("top") <= 2)) & (F.col("at") == 0) & F.col("starts_inside")))
+    tokens = tokens.filter(~(F.col("split") & (F.col("at") == F.col("of") - 1)) & ~(F.col("starts_inside") & (F.col("at") == 0)))
     tokens = tokens.filter(~F.col("raw").rlike(_CODE)).select("page_id", "line_no", "raw", _bare(F.col("raw")).alias("word"))
-    fixes = tokens.join(forms, "word").groupBy("page_id", "line_no").agg(F.sort_array(F.collect_set(F.struct("raw", "word", "form"))).alias("fixes"))
+    cased = F.when(F.col("raw").rlike(r"^\P{L}*\p{Lu}"), F.initcap("form")).otherwise(F.col("form"))
+    fixed = F.concat(F.regexp_extract("raw", r"^([\s\"'«»“”„‚‘’(\[¿¡]*)", 1), cased, F.regexp_extract("raw", r"([\s.,;:?\"«»“”‘’)\]…]*)$", 1))
+    fixes = tokens.join(forms, "word").select("page_id", "line_no", F.struct("raw", fixed.alias("fixed")).alias("fix"))
+    fixes = fixes.groupBy("page_id", "line_no").agg(F.sort_array(F.collect_set("fix")).alias("fixes"))
     text = text.join(fixes, ["page_id", "line_no"], "left").withColumn("misread", F.col("stray") | F.col("fixes").isNotNull())
-    columns = ["page_id", "pdf_id", "page_number", "line_no", "text", "running", "split", "joined", "fixes", "misread", "starts_inside"]
+    columns = ["page_id", "pdf_id", "page_number", "line_no", "text", "next", "running", "split", "joined", "fixes", "misread", "starts_inside"]
     rest = lines.filter("running")
-    for c, kind in (("split", "boolean"), ("joined", "string"), ("misread", "boolean"), ("starts_inside", "boolean")):
+    for c, kind in (("next", "string"), ("split", "boolean"), ("joined", "string"), ("misread", "boolean"), ("starts_inside", "boolean")):
         rest = rest.withColumn(c, F.lit(False if kind == "boolean" else None).cast(kind))
-    rest = rest.withColumn("fixes", F.lit(None).cast("array<struct<raw:string,word:string,form:string>>"))
+    rest = rest.withColumn("fixes", F.lit(None).cast("array<struct<raw:string,fixed:string>>"))
     return text.select(*columns).unionByName(rest.select(*columns))
 
 
@@ -205,3 +211,43 @@ def found(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, kind) with kinds running, split and misread; a line may have several."""
     kinds = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("running", "split", "misread")]))
     return written(analysed(pages), "page-kinds").select("page_id", "line_no", F.explode(kinds).alias("kind"))
+
+
+def repaired_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, pdf_id, page_number, line_no, raw, text): lines of text without running ones, words whole and put right.
+
+    A word broken over two lines stands whole at the end of the first.
+    """
+    t = analysed(pages).filter("NOT running")
+    fixed = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<raw:string,fixed:string>>")), F.trim("text"), lambda acc, f: F.replace(acc, f["raw"], f["fixed"]))
+    fixed = F.regexp_replace(fixed, r"(?<=\p{L})[·*|~^_�](?=\p{L})|�|(?<=\s)[~^|_¦¬`´]\s", "")
+    begun = F.when(F.col("starts_inside"), F.regexp_replace(fixed, r"^\S+\s*", "")).otherwise(fixed)
+    tail = F.regexp_extract("text", r"(\S+)\s*$", 1)
+    cased = F.when(tail.rlike(r"^\P{L}*\p{Lu}"), F.initcap("joined")).otherwise(F.col("joined"))
+    signs = F.regexp_extract("next", r"^\s*\S*\p{L}([.,;:?!\"»)]+)(?:\s|$)", 1)
+    whole = F.when(F.col("split"), F.concat(F.regexp_replace(begun, r"\S+\s*$", ""), cased)).otherwise(begun)
+    return t.select("page_id", "pdf_id", "page_number", "line_no", F.col("text").alias("raw"), F.concat(whole, F.when(F.col("split"), signs).otherwise("")).alias("text"))
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """(pdf_id, para_no, first_page, text): the running text of each file, numbered from 1; of pages scanned twice the first scan.
+
+    A paragraph begins after a blank line, with an indented line, with a title and after one, and at the top of a page
+    only where one of these holds. Numbers come from running sums over blocks of pages, shifted by one row for each block.
+    """
+    lines = written(repaired_lines(pages), "repaired-lines")
+    scans = lines.groupBy("pdf_id", "page_number").agg(F.min("page_id").alias("page_id"))
+    lines = lines.join(scans, ["pdf_id", "page_number", "page_id"], "left_semi").withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK))
+    order = Window.partitionBy("pdf_id", "block").orderBy("page_number", "line_no")
+    title = F.col("raw").rlike(_TITLE) & ~F.col("raw").rlike(r"[.,;:\-‐¬]\s*$") & (F.length(F.trim("raw")) <= 0.8 * F.max(F.length("raw")).over(Window.partitionBy("pdf_id", "page_number"))) & F.coalesce(F.lag("raw").over(order).rlike(r"[.!?:…][\"'»”)]*\s*$"), F.lit(True))
+    title &= ~F.coalesce(F.lead("raw").over(order).rlike(r"^\s*\p{Ll}"), F.lit(False))
+    lines = lines.withColumns({"title": title, "gap": (F.col("line_no") - F.lag("line_no").over(order) > 1) & (F.col("page_number") == F.lag("page_number").over(order)), "first": F.row_number().over(order) == 1})
+    begins = F.col("title") | F.coalesce(F.lag("title").over(order), F.lit(False)) | F.coalesce("gap", F.lit(False)) | F.col("raw").rlike(r"^\s{2,}\S")
+    lines = lines.withColumn("begins", begins.cast("int"))
+    lines = lines.withColumn("at", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = lines.groupBy("pdf_id", "block").agg(F.max("at").alias("n"))
+    before = Window.partitionBy("pdf_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("pdf_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    lines = lines.join(blocks, ["pdf_id", "block"]).withColumn("para", F.col("at") + F.col("offset"))
+    rows = lines.filter("text <> ''").groupBy("pdf_id", "para").agg(F.min("page_number").alias("first_page"), F.sort_array(F.collect_list(F.struct("page_number", "line_no", "text"))).alias("rows"))
+    return rows.select("pdf_id", (F.col("para") + 1).cast("int").alias("para_no"), "first_page", F.regexp_replace(F.array_join(F.col("rows.text"), " "), r"(?<=\p{L})- (?=\p{Ll})", "-").alias("text"))
