@@ -50,6 +50,9 @@ def clean_text(text: Column) -> Column:
     return tx.clean_document(F.when(text.rlike(r"[^\x00-\x7F]"), nfc(text)).otherwise(text))
 
 
+_NEXT = re.compile(r"[ \t]*(.?)", re.S)
+
+
 def split_sentences(text: str) -> list[str]:
     """Sentences of a document: . ! ? before a capital, a line end or the end; not in brackets, numbers or abbreviations."""
     out, start = [], 0
@@ -63,10 +66,13 @@ def split_sentences(text: str) -> list[str]:
         if m.group() == ".":
             if text[max(0, i - 1) : i].isdigit() and text[end : end + 1].isdigit():
                 continue
-            word = re.search(r"[^\W\d_]*$", text[:i]).group()
+            j = i
+            while j and text[j - 1].isalpha():
+                j -= 1
+            word = text[j:i]
             if word in DOCUMENT_ABBREVIATIONS or (0 < len(word.encode()) <= 2 and text[end : end + 1].isalpha()):
                 continue
-        after = text[end:].lstrip(" \t")[:1]
+        after = _NEXT.match(text, end)[1]
         if after == "" or after == "\n" or after.isupper():
             if s := so_far.strip():
                 out.append(s + " ")

@@ -9,7 +9,8 @@ from loregrid.functions import text as tx
 from loregrid.session import table
 
 #: The tokenizer in SQL; what every oracle with words uses.
-TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{Nl}}\s]', '', 'g'), '\s+'), lambda x: x <> '')"
+_SPACE = r"\s\x{{0b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}"
+TOKENS = rf"list_filter(regexp_split_to_array(regexp_replace(lower({{0}}), '[^\p{{{{L}}}}\p{{{{Nl}}}}{_SPACE}]', '', 'g'), '[{_SPACE}]+'), lambda x: x <> '')"
 STOP_EN = "['" + "','".join(tx.STOPWORDS["en"]) + "']"
 STOP_DE = "['" + "','".join(tx.STOPWORDS["de"]) + "']"
 
