@@ -58,8 +58,8 @@ def lines_of(pages: DataFrame) -> DataFrame:
     pages: page_id, pdf_id, page_number, text. Null texts have no lines. A null pdf_id is a file of its own page.
     """
     p = pages.select("page_id", F.coalesce("pdf_id", -F.col("page_id") - 1).alias("pdf_id"), F.coalesce("page_number", F.lit(0)).alias("page_number"), "text").distinct()
-    rows = p.select("page_id", "pdf_id", "page_number", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "text"))
-    rows = rows.filter(F.length(F.regexp_replace("text", r"[\p{Z}\p{C}\s]", "")) > 0).withColumn("line_no", F.col("at") + 1).drop("at")
+    rows = p.select("page_id", "pdf_id", "page_number", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    rows = rows.withColumn("text", F.regexp_replace("text", "\r", " ")).filter(F.length(F.regexp_replace("text", r"[\p{Z}\p{C}\s]", "")) > 0).withColumn("line_no", F.col("at") + 1).drop("at")
     w = Window.partitionBy("pdf_id", "page_number", "page_id")
     return rows.withColumn("top", F.row_number().over(w.orderBy("line_no"))).withColumn("n", F.count("*").over(w)).withColumn("bottom", F.col("n") - F.col("top") + 1)
 
