@@ -3,10 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from loregrid.operators import context as cx
 from loregrid.operators import retrieval as rt
+from loregrid.operators import vectors as vx
+from loregrid.plans import retrieval as plans
+from loregrid.session import table
 
 KB = "idx long, input string, output struct<format:string,value:string>, weight float"
 
@@ -112,3 +116,42 @@ def test_ensemble_takes_first_that_answers(spark):
     assert rt.ensemble([("one", miss), ("two", hit), ("three", hit)]).first().agent == "two"
     assert rt.ensemble([("one", miss), ("two", miss)]).first()[:] == (0, "one", rt.NO_MATCH, 0.0)
     assert q.count() == 1
+
+
+def brute_nearest(rows, queries, k):
+    """rows, queries: (id, vector or None)."""
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return 0.0
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / size if size > 0 else 0.0
+
+    out = {}
+    for q, a in queries:
+        scored = sorted((-round(cosine(a, b), 5), v) for v, b in rows if v != q)[:k]
+        out.update({(q, i): (v, -s) for i, (s, v) in enumerate(scored, 1)})
+    return out
+
+
+def near(got, want):
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(found[k][0] == v and abs(found[k][1] - s) < 1.1e-5 for k, (v, s) in want.items())
+
+
+def test_cosine_topk_searches_every_label(spark, folder):
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in table(spark, folder, "embeddings").collect()]
+    near(plans.cosine_topk(spark, folder), brute_nearest(rows, [r for r in rows if r[0] % 50 == 0], 5))
+
+
+def test_nearest_odd_vectors_ties_and_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(60, None), (61, []), (62, [0.0, 0.0, 0.0]), (63, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = df.filter("vec_id % 5 = 0 OR vec_id > 60").selectExpr("vec_id AS query_id", "embedding AS qv")
+    want = brute_nearest(rows, [r for r in rows if r[0] % 5 == 0 or r[0] > 60], 4)
+    near(vx.nearest(df, asked, 4), want)
+    monkeypatch.setattr(vx, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vx, "TILE", 3)
+    near(vx.nearest(df, asked, 4), want)
+    assert vx.nearest(df, asked.limit(0), 4).count() == 0
