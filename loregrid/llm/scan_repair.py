@@ -146,13 +146,18 @@ def vocabulary(text: DataFrame) -> DataFrame:
     return text.select(F.explode(inner).alias("w")).select(_bare(F.col("w")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def misread_forms(words: DataFrame) -> DataFrame:
-    """(word, form): each rare form, and the frequent form of the same skeleton it is a misreading of."""
-    shapes = words.filter(~F.col("word").rlike(r"^[\d.,%+-]+$")).withColumn("shape", skeleton(F.col("word"))).filter("shape <> ''")
+def misread_forms(words: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(word, form): each rare form, and the frequent form of the same skeleton it is a misreading of.
+
+    Frequent forms are those of words (word, n); the forms judged are the same ones, or others (word, n).
+    """
+    shaped = lambda df: df.filter(~F.col("word").rlike(r"^[\d.,%+-]+$")).withColumn("shape", skeleton(F.col("word"))).filter("shape <> ''")
+    shapes = shaped(words)
     plain = F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$")
     best = shapes.filter(plain & (F.col("n") >= KNOWN)).groupBy("shape").agg(F.max_by("word", F.struct("n", "word")).alias("form"), F.max("n").alias("top"))
     rare = F.col("n") <= F.greatest(F.lit(1.0), RARE * F.col("top"))
-    return shapes.join(best, "shape").filter(rare & (F.col("word") != F.col("form"))).select("word", "form")
+    judged = shapes if others is None else shaped(others)
+    return judged.join(best, "shape").filter(rare & (F.col("word") != F.col("form"))).select("word", "form")
 
 
 def analysed(pages: DataFrame) -> DataFrame:
@@ -193,7 +198,13 @@ def analysed(pages: DataFrame) -> DataFrame:
     text = written(text.withColumn("stray", F.col("text").rlike(_STRAY) | F.col("text").rlike(_MIXED)), "split-lines")
     tokens = text.select("page_id", "line_no", F.posexplode(parts).alias("at", "raw"), F.size(parts).alias("of"), "split", "starts_inside", "top")
     tokens = tokens.filter(~(F.col("split") & (F.col("at") == F.col("of") - 1)) & ~(F.col("starts_inside") & (F.col("at") == 0)))
-    tokens = tokens.filter(~F.col("raw").rlike(_CODE)).select("page_id", "line_no", "raw", _bare(F.col("raw")).alias("word"))
+    tokens = tokens.filter(~F.col("raw").rlike(_CODE)).withColumn("word", _bare(F.col("raw")))
+    # forms that stand only at the ends of lines, now that halves of broken words are known; what ends in a dash, even a misread one, is a half as well
+    last = F.col("at") == F.col("of") - 1
+    outer = tokens.filter(((F.col("at") == 0) | last) & ~(last & F.col("raw").rlike(rf"[{HYPHENS}–—=~_]$")) & (F.col("word") != ""))
+    outer = outer.groupBy("word").agg(F.count("*").alias("n"))
+    outer = written(outer.join(words.select("word"), "word", "left_anti"), "outer-words")
+    forms = forms.unionByName(misread_forms(words, outer))
     cased = F.when(F.col("raw").rlike(r"^\P{L}*\p{Lu}"), F.initcap("form")).otherwise(F.col("form"))
     fixed = F.concat(F.regexp_extract("raw", r"^([\s\"'«»“”„‚‘’(\[¿¡]*)", 1), cased, F.regexp_extract("raw", r"([\s.,;:?\"«»“”‘’)\]…]*)$", 1))
     fixes = tokens.join(forms, "word").select("page_id", "line_no", F.struct("raw", fixed.alias("fixed")).alias("fix"))

@@ -138,6 +138,16 @@ def test_scan_kinds(spark):
     assert scan_repair.found(spark.createDataFrame(pages, PAGE).limit(0)).count() == 0
 
 
+def test_misread_at_line_ends(spark):
+    body = ["the old mill grinds the grain of the valley every day"] * 8 + ["the old mill-grain of the valley is sold"] * 6
+    odd = ["va1ley grinds of the old grain", "every day the old gra1n.", "the old mill-", "grain of the valley every day"]
+    pages = spark.createDataFrame([(1, 1, None, 1, "\n".join([*body, *odd, *body]))], PAGE)
+    kinds = [(r.line_no, r.kind) for r in scan_repair.found(pages).collect() if 15 <= r.line_no <= 18]
+    assert sorted(kinds) == [(15, "misread"), (16, "misread")]
+    text = {r.line_no: r.text for r in scan_repair.repaired_lines(pages).collect()}
+    assert (text[15], text[16], text[17]) == ("valley grinds of the old grain", "every day the old grain.", "the old mill-")
+
+
 def test_paragraphs(spark):
     text1 = "The grain of the valley is ground at the old mill and the con-\nsignment leaves by boat.\n\nA second paragraph runs on over the\nend of the page and does not"
     text2 = "stop before the well-\nknown bridge is reached by all."
