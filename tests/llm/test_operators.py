@@ -106,6 +106,16 @@ def test_dedup_in_batches_is_dedup_at_once(spark):
     assert brute and whole == brute and parts == brute
 
 
+def test_dedup_meets_pages_whose_segments_stood_before(spark):
+    line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
+    # every line of page 8 stood in another page before, two of each segment's owners are never near it
+    others = [(k + 1, "\n".join(sorted([line("m", k), *[line(f"o{chr(97 + k)}", i) for i in range(7)]]))) for k in range(7)]
+    eighth = "\n".join(line("m", i) for i in range(7))
+    rows = [*others, (8, eighth), (9, eighth.replace("maa", "x"))]
+    found, _ = history_dedup.match(spark.createDataFrame(rows, "id long, body string"))
+    assert [(r.first_id, r.id) for r in found.collect()] == [(8, 9)]
+
+
 def test_same_body_bounds():
     a = "\n".join(f"w{i}a w{i}b w{i}c w{i}d" for i in range(5))
     assert history_dedup.same_body(a, "\n".join(reversed(a.split("\n"))))
