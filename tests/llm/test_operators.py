@@ -116,6 +116,22 @@ def test_dedup_meets_pages_whose_segments_stood_before(spark):
     assert [(r.first_id, r.id) for r in found.collect()] == [(8, 9)]
 
 
+def test_dedup_of_chained_edits_in_batches(spark):
+    line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
+    a = [line("m", i) for i in range(8)]
+    # the last body has segments in common with the edited lines of the second only
+    b = [" ".join("q" + w if i > 1 and j in (2, 9) else w for j, w in enumerate(x.split(" "))) for i, x in enumerate(a)]
+    c = [" ".join("r" + w if i < 2 and j in (2, 9) else w for j, w in enumerate(x.split(" "))) for i, x in enumerate(b)]
+    a, b, c = ("\n".join(sorted(x)) for x in (a, b, c))
+    assert history_dedup.same_body(a, b) and history_dedup.same_body(b, c)
+    df = spark.createDataFrame([(1, a), (2, b), (3, "\n".join(line("z", i) for i in range(8))), (4, c), (5, b)], "id long, body string")
+    index, parts = None, set()
+    for batch in ("id < 3", "id = 3", "id > 3"):
+        found, index = history_dedup.match(df.filter(batch), index)
+        parts |= {(r.first_id, r.id) for r in found.collect()}
+    assert parts == {(r.first_id, r.id) for r in history_dedup.match(df)[0].collect()} == {(1, 2), (1, 4), (1, 5)}
+
+
 def test_same_body_bounds():
     a = "\n".join(f"w{i}a w{i}b w{i}c w{i}d" for i in range(5))
     assert history_dedup.same_body(a, "\n".join(reversed(a.split("\n"))))
