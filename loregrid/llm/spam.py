@@ -1,8 +1,9 @@
 """Keyword-stuffed and link-list pages.
 
-Bagged decision trees on content and link features, trained on weak labels: a few rules that are sure of themselves
-label some pages, the trees learn from those and judge all. Page predictions are then smoothed with the spam rate of
-their host. Features come from one pass over the texts; only they travel on, one short row for each page.
+Bagged decision trees on content and link features, trained on weak labels: rules with a wide margin label the pages
+they are sure of, on both sides, and leave the others open; the trees learn from those and judge all. Page predictions
+are then smoothed with the spam rate of their host: the odds of a page move by the odds of the other pages of its host.
+Features come from one pass over the texts; only they travel on, one short row for each page.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from loregrid.session import written
 #: Labelled pages of each class the trees are trained on, at most; the judgement covers every page.
 TRAIN_ROWS = 10_000
 TREES, DEPTH = 25, 6
-#: How much the rate of the host's other pages counts beside a page's own prediction.
-HOST_WEIGHT = 0.15
+#: The power of the host's odds in those of a page, and so many pages of average rate that every host is given.
+HOST_WEIGHT, HOST_PRIOR = 0.3, 10
+#: One labelled page in so many is held back from training.
+HELD_BACK = 5
 #: Pages of fewer words are no lists of anything.
 LEAST_WORDS = 5
+#: The share of a sentence's words that its keyword makes up where it is made of it.
+ECHO = 0.1
 
-FEATURES = ["ended", "function", "loose_function", "bare", "linked", "sourced", "stamped", "coded", "distinct", "top", "separators", "tags", "digits", "line_words", "size"]
+FEATURES = ["ended", "function", "loose_function", "bare", "linked", "sourced", "stamped", "coded", "distinct", "top", "separators", "tags", "digits", "line_words", "size", "echo", "again"]
 
 _WORD = re.compile(r"[^\W_]+")
 _PIECES = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+")
@@ -42,21 +47,33 @@ _COMMON = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split(
 
 
 def page_features(text: str) -> list[float]:
-    """The features of one text, in the order of FEATURES; shares are of its words."""
-    n = ended = common = loose = loose_common = bare = linked = sourced = stamped = coded = seps = digits = lines = 0
+    """The features of one text, in the order of FEATURES; shares are of its words.
+
+    ended: words in closed sentences, loose_function: function words among the others, bare: words in rows without
+    any, linked: in lines with links, sourced, stamped, coded: in lines of sources, logs, code. top: uses of the
+    commonest content word, echo: words of sentences that are made of it, again: words that a sentence says twice.
+    """
+    n = ended = common = loose = loose_common = bare = linked = sourced = stamped = coded = seps = digits = lines = again = 0
     seen: Counter[str] = Counter()
+    told: list[list[str]] = []
     for line in text.split("\n"):
-        words = _WORD.findall(line.lower())
-        k = len(words)
+        low = line.lower()
+        pieces = [_WORD.findall(x) for x in _PIECES.split(low)]
+        k = sum(map(len, pieces))
         if not k:
             continue
         n += k
         lines += 1
-        seen.update(words)
+        c = 0
+        for words in pieces:
+            seen.update(words)
+            told.append(words)
+            again += len(words) - len(set(words))
+            c += sum(w in _COMMON for w in words)
         seps += line.count(",") + line.count(";") + line.count("|") + line.count("/") + line.count(">") + line.count(" - ")
-        c = sum(w in _COMMON for w in words)
         common += c
-        if _LINK.search(line) and not _ENDED.search(line):
+        closed = bool(_ENDED.search(line))
+        if not closed and _LINK.search(line):
             if _SOURCE.match(line):
                 sourced += k
             else:
@@ -66,11 +83,10 @@ def page_features(text: str) -> list[float]:
             stamped += k
         elif _CODE.search(line):
             coded += k
-        pieces = _PIECES.split(line)
-        if _ENDED.search(line):
+        if closed:
             ended += k
         else:
-            tail = _WORD.findall(pieces[-1].lower())
+            tail = pieces[-1]
             ended += k - len(tail)
             loose += len(tail)
             t = sum(w in _COMMON for w in tail)
@@ -79,11 +95,17 @@ def page_features(text: str) -> list[float]:
                 bare += len(tail)
     if not n:
         return [0.0] * len(FEATURES)
-    top = max((v for w, v in seen.items() if w not in _COMMON), default=0)
+    top, word = max(((v, w) for w, v in seen.items() if w not in _COMMON and len(w) > 1), default=(0, ""))
     digits = sum(v for w, v in seen.items() if w.isdigit())
+    echo = 0
+    # a word said three times in all is no keyword
+    for words in told if top > 3 else ():
+        uses = words.count(word)
+        if uses > 1 and uses >= ECHO * len(words):
+            echo += len(words)
     return [
         ended / n, common / n, loose_common / loose if loose else 0.3, bare / n, linked / n, sourced / n, stamped / n, coded / n,
-        len(seen) / n, top / n, seps / n, text.count("#") / n, digits / n, n / lines, float(n),
+        len(seen) / n, top / n, seps / n, text.count("#") / n, digits / n, n / lines, float(n), echo / n, again / n,
     ]
 
 
@@ -105,11 +127,14 @@ def weak_label() -> Column:
     """1 or 0 where a rule is sure, else null."""
     c = F.col
     ordered = c("stamped") + c("coded") + c("sourced")
-    lists = (c("bare") > 0.65) | (c("linked") > 0.65) | (c("bare") + c("linked") > 0.7)
-    stuffed = (c("ended") < 0.35) & (c("top") > 0.12) & (c("digits") < 0.2)
-    places = (c("ended") < 0.3) & (c("loose_function") < 0.3) & (c("distinct") < 0.6) & (c("digits") < 0.15)
-    spam = (ordered < 0.2) & (c("size") >= 15) & (lists | stuffed | places)
-    ham = (c("size") < LEAST_WORDS) | (ordered > 0.4) | ((c("ended") > 0.6) & (c("bare") + c("linked") < 0.35)) | ((c("loose_function") > 0.3) & (c("bare") + c("linked") < 0.2))
+    rows = (c("ended") < 0.2) & (c("digits") < 0.2)
+    lists = (c("bare") > 0.7) | (c("linked") > 0.7) | (c("bare") + c("linked") > 0.75)
+    stuffed = rows & (c("top") > 0.15)
+    places = rows & (c("loose_function") < 0.25) & (c("distinct") < 0.5)
+    preached = (c("echo") > 0.8) & (c("top") > 0.15) & (c("distinct") < 0.4)
+    spam = (ordered < 0.1) & (c("size") >= 20) & (lists | stuffed | places | preached)
+    calm = ((c("top") < 0.1) | (c("top") * c("size") < 3.5)) & (c("echo") < 0.3) & (c("bare") + c("linked") < 0.2)
+    ham = (c("size") < LEAST_WORDS) | ((ordered > 0.6) & (c("top") < 0.1)) | (calm & ((c("ended") > 0.8) | (c("loose_function") > 0.35)))
     return F.when(spam & ~ham, 1.0).when(ham & ~spam, 0.0)
 
 
@@ -117,9 +142,13 @@ def _assembled(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
 
 
+def _held_back() -> Column:
+    return F.pmod(F.xxhash64("page", F.lit("held back")), F.lit(HELD_BACK)) == 0
+
+
 def train(found: DataFrame) -> RandomForestClassificationModel | None:
     """Trees from a bounded sample of the labelled pages, None where a class has no page."""
-    labelled = found.withColumn("label", weak_label()).filter("label IS NOT NULL")
+    labelled = found.withColumn("label", weak_label()).filter(F.col("label").isNotNull() & ~_held_back())
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).toLocalIterator()}
     if len(sizes) < 2:
         return None
@@ -131,20 +160,34 @@ def train(found: DataFrame) -> RandomForestClassificationModel | None:
     return trees.fit(_assembled(picked.withColumn("weight", weight * min(TRAIN_ROWS, sum(sizes.values())))))
 
 
+def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+    """The features of `found` with `own`, what the trees say of each page; without trees the weak label, else 0."""
+    if model is None:
+        return found.withColumn("own", F.coalesce(weak_label(), F.lit(0.0)))
+    return model.transform(_assembled(found)).withColumn("own", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def held_out(found: DataFrame) -> DataFrame:
+    """(label, said, n): labels of the pages held back from training against what trees trained on the others say."""
+    labelled = scored(found, train(found)).withColumn("label", weak_label()).filter(F.col("label").isNotNull() & _held_back())
+    return labelled.groupBy("label", (F.col("own") > 0.5).cast("double").alias("said")).agg(F.count("*").alias("n"))
+
+
 def judged(pages: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
-    """(page, own, rate, score, spam) of every page: its own prediction, its host's rate, both together, the verdict."""
+    """(page, own, rate, score, spam) of every page: its own prediction, its host's rate, both together, the verdict.
+
+    A null or empty text and one of under LEAST_WORDS words is no spam; a null host has the average rate. Rows are
+    judged one by one, copies included; an empty table gives no rows.
+    """
     found = written(features(pages, id_column, host_column, text_column), "page-features")
-    model = train(found)
-    if model is None:
-        own = F.coalesce(weak_label(), F.lit(0.0))
-        scored = found.select("page", "host", "size", own.alias("own"))
-    else:
-        scored = model.transform(_assembled(found)).select("page", "host", "size", vector_to_array("probability")[1].alias("own"))
-    scored = written(scored, "page-scores")
-    rates = scored.filter("host IS NOT NULL").groupBy("host").agg(F.sum("own").alias("sum"), F.count("*").alias("n"))
-    out = scored.join(rates, "host", "left")
-    # the host's other pages, with two pages of average rate so that a small host says little
-    base = scored.agg(F.avg("own").alias("a")).select(F.coalesce("a", F.lit(0.0))).scalar()
-    rate = (F.coalesce("sum", "own") - F.col("own") + 2 * base) / (F.coalesce("n", F.lit(1)) + 1)
-    out = out.withColumn("rate", rate).withColumn("score", (F.col("own") + HOST_WEIGHT * (F.col("own") + F.col("rate")) / 2) / (1 + HOST_WEIGHT))
+    own = written(scored(found, train(found)).select("page", "host", "size", "own"), "page-scores")
+    rates = own.filter("host IS NOT NULL").groupBy("host").agg(F.sum("own").alias("sum"), F.count("*").alias("n"))
+    out = own.join(rates, "host", "left")
+    base = own.agg(F.avg("own").alias("a")).select(F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(1e-6))).scalar()
+    rate = (F.coalesce("sum", "own") - F.col("own") + HOST_PRIOR * base) / (F.coalesce("n", F.lit(1)) - 1 + HOST_PRIOR)
+    out = out.withColumn("rate", F.least(rate, F.lit(1 - 1e-6)))
+    odds = lambda p: p / (1 - p)
+    p = F.least(F.col("own"), F.lit(1 - 1e-6))
+    joint = odds(p) * F.pow(odds(F.col("rate")) / odds(F.least(base, F.lit(1 - 1e-6))), F.lit(HOST_WEIGHT))
+    out = out.withColumn("score", joint / (1 + joint))
     return out.select("page", "own", "rate", "score", ((F.col("score") > 0.5) & (F.col("size") >= LEAST_WORDS)).alias("spam"))

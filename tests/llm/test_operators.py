@@ -316,3 +316,21 @@ def test_spam_of_one_class_and_of_nothing(spark):
     df = spark.createDataFrame([(1, "h", "The lamp of the house is old and it is near the river.")], "doc_id long, source string, text string")
     assert [r.spam for r in spam.judged(df).collect()] == [False]
     assert spam.judged(df.limit(0)).count() == 0
+
+
+def test_spam_of_sentences_made_of_a_keyword(spark):
+    random.seed(8)
+    nouns = "lamp table river stone garden window kettle bridge".split()
+    prose = lambda: " ".join(f"The {random.choice(nouns)} of the {random.choice(nouns)} is near the {random.choice(nouns)} and it was built by hand in {random.randint(1, 99)} days." for _ in range(12))
+    preach = lambda w: " ".join(random.choice([f"Looking for {w}? Our {w} shop has {w} and more {w} today.", f"With {w} from us your {w} stays a fine {w}.", f"Our {w} is the best {w} for every {w} buyer."]) for _ in range(9))
+    docs = [(i, f"host{i % 5}", preach(random.choice(nouns)) if i % 3 == 0 else prose()) for i in range(90)]
+    # a paragraph that says something before more keywords than that, and fewer
+    docs += [(200, "host1", prose()[:150] + ". " + preach("lamp")), (201, "host1", prose() + " " + prose() + " Our lamp is the best lamp for every lamp buyer.")]
+    pages = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = {r.page: r.spam for r in spam.judged(pages).collect()}
+    assert all(got[i] == (i % 3 == 0) for i in range(90)) and got[200] and not got[201]
+    found = spam.features(pages)
+    known = {r.page: r.label for r in found.select("page", spam.weak_label().alias("label")).collect()}
+    # the rules leave pages open that the trees judge
+    assert any(known[p] is None and got[p] for p in got)
+    assert {(r.label, r.said) for r in spam.held_out(found).collect()} <= {(0.0, 0.0), (1.0, 1.0)}
