@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loregrid.session import written
+
 
 def renumbered(kb: DataFrame, *order: str) -> DataFrame:
     """kb with idx 0, 1, ... in the given order, without a window over all rows in one task.
 
-    Rows are sorted by range, so the rows of each partition are known to follow those of the partitions before;
-    only one count per partition travels.
+    Rows are sorted by range and written once with their partition and place in it, as a second run of the sort would
+    draw other bounds; counts and rows are read from that table. One count per partition travels. Rows that tie in
+    the order come in any order, each with a number of its own; an empty table gives no rows.
     """
     parts = max(1, int(kb.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = kb.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    ranged = ranged.withColumn("_at", F.row_number().over(inside) - 1)
+    ranged = kb.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id holds the number of the partition above 33 bits of the place in it
+    ranged = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "renumbered")
+    ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # at most as many rows as there are shuffle partitions
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return ranged.join(F.broadcast(offsets), "_part").withColumn("idx", (F.col("_offset") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_n", "_offset")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("idx", (F.col("_offset") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_id", "_offset")
 
 
 def merged(first: DataFrame, *more: DataFrame) -> DataFrame:

@@ -23,6 +23,23 @@ def test_merge_keeps_order_and_copies(spark):
     assert rows(tb.merged(a.limit(0), b.limit(0)), "idx") == []
 
 
+@pytest.mark.parametrize("partitions", [2, 4, 8, 200])
+def test_numbers_are_dense_and_in_order(spark, partitions):
+    n = 20_000
+    # wide rows that lie in another order, more than a sort by range samples
+    left = spark.range(n // 2).select(((F.col("id") * 7919) % (n // 2)).alias("idx"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("input"), F.sha2(F.col("id").cast("string"), 256).alias("value"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = tb.merged(left, left.withColumn("idx", -F.col("idx"))).toPandas().sort_values("idx")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = left.toPandas().sort_values("idx")
+    assert got["idx"].tolist() == list(range(n))
+    assert got["input"].tolist() == [*want["input"], *want["input"][::-1]]
+    assert got["value"].tolist() == [*want["value"], *want["value"][::-1]]
+
+
 def test_remove(spark):
     a = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], ROW)
     assert rows(tb.removed(a, 1), "idx", "input") == [(0, "a"), (1, "c")]
