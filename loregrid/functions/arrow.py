@@ -255,7 +255,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
         m = len(hits)
         if not m:
             return 0.0
-        swaps = sum(x != y for x, y in zip(hits, (t[j] for j in sorted(used)))) / 2
+        swaps = sum(x != y for x, y in zip(hits, (t[j] for j in sorted(used)))) // 2
         jaro = (m / len(s) + m / len(t) + (m - swaps) / m) / 3
         prefix = next((k for k, (x, y) in enumerate(zip(s[:4], t[:4])) if x != y), min(4, len(s), len(t)))
         return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro

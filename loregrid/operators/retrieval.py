@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregrid.functions.text import tokenize
+from loregrid.session import written
 
 NO_MATCH = "No matching answer found."
 NO_DATA = "No training data available."
@@ -89,22 +90,26 @@ class FuzzyAgent:
         q = queries.select("query_id", F.lower("text").alias("q")).filter("q IS NOT NULL")
         q = q.withColumns({"t": self._bound(F.col("q")), "n": F.char_length("q")}).groupBy("q", "t", "n").agg(F.collect_set("query_id").alias("ids"))
         kb = self.kb.select("idx", F.lower("input").alias("k")).filter("k IS NOT NULL")
-        texts = kb.select("k").distinct().withColumn("m", F.char_length("k"))
+        # a text travels under its hash; texts that share one are told apart when distances are taken
+        texts = kb.select("k").distinct().withColumns({"kid": F.xxhash64("k"), "m": F.char_length("k")})
         # where piece i of t + 1 begins, and its first characters
         begins = F.transform(F.sequence(F.lit(0), F.least("t", "n")), lambda i: F.floor(i * F.col("n") / (F.col("t") + 1)).cast("int"))
         ends = lambda i: F.floor((i + 1) * F.col("n") / (F.col("t") + 1)).cast("int")
         piece = F.transform(begins, lambda b, i: F.struct(b.alias("at"), F.substring("q", b + 1, F.least(F.lit(self.PROBE), ends(i) - b)).alias("key")))
         by_piece = q.filter("t < n").select("q", "t", "n", F.inline(piece))
-        grams = texts.select("k", "m", F.explode(F.sequence(F.lit(1), F.lit(self.PROBE))).alias("g")).filter("g <= m")
-        grams = grams.select("k", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("g") + 1), lambda i: F.substring("k", i, F.col("g")))).alias("p", "key"))
+        # only grams as long as a piece of some query: at most PROBE lengths
+        sizes = by_piece.agg(F.coalesce(F.collect_set(F.char_length("key")), F.array().cast("array<int>"))).scalar()
+        grams = texts.select("k", "kid", "m", F.explode(sizes).alias("g")).filter("g <= m")
+        grams = grams.select("kid", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("g") + 1), lambda i: F.substring("k", i, F.col("g")))).alias("p", "key"))
         near = (F.abs(F.col("p") - F.col("at")) <= F.col("t")) & (F.abs(F.col("m") - F.col("n")) <= F.col("t"))
-        pairs = by_piece.join(grams, "key").filter(near).select("q", "t", "k").distinct()
+        pairs = by_piece.join(grams, "key").filter(near).select("q", "t", "kid").distinct()
+        pairs = pairs.join(texts.select("kid", "k"), "kid").select("q", "t", "k")
         # queries that may change altogether: all lengths within the bound
         longest = texts.agg(F.coalesce(F.max("m"), F.lit(0)).alias("m")).scalar()
         reach = F.least(F.col("n").cast("bigint") + F.col("t"), longest).cast("int")
         lengths = q.filter("t >= n").select("q", "t", F.explode(F.sequence(F.lit(0), reach)).alias("m"))
-        pairs = pairs.unionByName(lengths.join(texts, "m").select("q", "t", "k")).withColumn("distance", F.levenshtein("q", "k"))
-        good = pairs.filter(F.col("distance") <= F.col("t"))
+        pairs = pairs.unionByName(lengths.join(texts, "m").select("q", "t", "k")).withColumn("distance", F.expr("levenshtein(q, k, t)"))
+        good = pairs.filter("distance >= 0")
         ids = q.select("q", "t", F.explode("ids").alias("query_id"))
         return good.join(ids, ["q", "t"]).join(kb, "k").select("query_id", "idx", "distance")
 
@@ -133,47 +138,58 @@ def doc_freq(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def postings(kb: DataFrame) -> DataFrame:
+    """(term, idx, tf, dl, weight): each term of each example with the words and the weight of the example."""
+    rows = kb.select("idx", "weight", tokenize(F.col("input")).alias("words"))
+    words = rows.select("idx", "weight", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
+    return words.groupBy("term", "idx", "dl", "weight").agg(F.count("*").alias("tf")).select("term", "idx", "tf", "dl", "weight")
+
+
 @dataclass(frozen=True)
 class Bm25Agent:
-    """BM25 times weight. The index is three tables; only postings of query terms are ever joined.
+    """BM25 times weight. The index is one table of postings, written once; what is appended is a further part of it.
 
-    A term said twice in a query counts twice. Examples without a word count in N and in the average length.
+    Only postings of query terms are ever joined, and they carry all a score needs. A term said twice in a query
+    counts twice. Examples without a word count in N and in the average length.
     """
 
     kb: DataFrame
-    tf: DataFrame
-    df: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
+    index: DataFrame
     k1: float = 1.2
     b: float = 0.75
 
     @classmethod
-    def train(cls, kb: DataFrame, k1: float = 1.2, b: float = 0.75, keep: bool = True) -> Bm25Agent:
-        tf = term_freq(kb)
-        tf = tf.persist() if keep else tf
-        lengths = tf.groupBy("idx").agg(F.sum("tf").alias("dl"))
-        n = kb.select(F.count("*").alias("n")).scalar()
-        stats = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).select(n.alias("n"), "words", (F.col("words") / n).alias("avgdl"))
-        return cls(kb, tf, doc_freq(tf), lengths, stats, k1, b)
+    def train(cls, kb: DataFrame, k1: float = 1.2, b: float = 0.75) -> Bm25Agent:
+        return cls(kb, written(postings(kb), "postings"), k1, b)
 
     def append(self, more: DataFrame) -> Bm25Agent:
-        return self.train(self.kb.unionByName(more), self.k1, self.b)
+        """The agent with more examples; the index that is there is not read."""
+        part = written(postings(more), "postings")
+        return replace(self, kb=self.kb.unionByName(more), index=self.index.unionByName(part))
+
+    @property
+    def stats(self) -> DataFrame:
+        """(n, words, avgdl): examples, words of all, words of one on average."""
+        n = self.kb.select(F.count("*").alias("n")).scalar()
+        words = self.index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+        return words.select(n.alias("n"), "words", (F.col("words") / n).alias("avgdl"))
 
     def terms(self, queries: DataFrame) -> DataFrame:
         return queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, idx, score) of every example with a score over 0, rounded to six places."""
-        n, avgdl = self.stats.select("n").scalar(), self.stats.select("avgdl").scalar()
-        terms = self.terms(queries)
+        stats = self.stats
+        n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+        q = self.terms(queries)
+        hits = self.index.join(q.select("term").distinct(), "term", "left_semi")
         idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        q = terms.join(self.df, "term").select("query_id", "term", (F.col("times") * idf).alias("w"))
+        q = q.join(doc_freq(hits), "term").select("query_id", "term", (F.col("times") * idf).alias("w"))
         norm = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl)
         part = F.col("w") * F.col("tf") * (self.k1 + 1) / norm
-        summed = self.tf.join(q, "term").join(self.lengths, "idx").groupBy("query_id", "idx").agg(F.sum(part).alias("s"))
+        summed = hits.join(q, "term").groupBy("query_id", "idx").agg(F.sum(part).alias("s"), F.max("weight").alias("weight"))
         score = F.round(F.col("s") * F.col("weight").cast("double"), 6)
-        return summed.join(self.kb.select("idx", "weight"), "idx").select("query_id", "idx", score.alias("score")).filter("score > 0")
+        return summed.select("query_id", "idx", score.alias("score")).filter("score > 0")
 
     def predict_top_n(self, queries: DataFrame, n: int) -> DataFrame:
         sizes = self.terms(queries).groupBy("query_id").agg(F.sum("times").alias("terms"))
@@ -189,6 +205,11 @@ class Bm25Agent:
         return queries.select("query_id").join(best, "query_id", "left").fillna(0.0, ["confidence"])
 
 
+def can_answer(confidences: DataFrame) -> DataFrame:
+    """(query_id, can_answer) of what `confidence` of an agent gave: more sure than not."""
+    return confidences.select("query_id", (F.col("confidence") > 0.5).alias("can_answer"))
+
+
 def ensemble(answers: list[tuple[str, DataFrame]]) -> DataFrame:
     """(query_id, agent, response, confidence): the first agent in order whose answer is not a sentinel, else the first."""
     parts = [df.select("query_id", F.lit(i).alias("place"), F.lit(name).alias("agent"), "response") for i, (name, df) in enumerate(answers)]

@@ -21,7 +21,7 @@ def asked(s, d):
 
 
 def agent(s, d):
-    return rt.Bm25Agent.train(kb(s, d).select("idx", "input", "output", "weight"), keep=False)
+    return rt.Bm25Agent.train(kb(s, d).select("idx", "input", "output", "weight"))
 
 
 def term_freq(s, d):
@@ -55,8 +55,19 @@ def bm25_confidence(s, d):
 def bm25_append(s, d):
     """The knowledge base with approved pairs appended; b = 0 and another k1."""
     more = table(s, d, "approved_data").select((F.col("id") + F.lit(10**12)).alias("idx"), "input", F.struct(F.lit("Text").alias("format"), F.col("output").alias("value")).alias("output"), F.col("weight").cast("float").alias("weight"))
-    base = rt.Bm25Agent.train(kb(s, d).select("idx", "input", "output", "weight"), 1.5, 0.0, keep=False)
-    return rt.Bm25Agent.train(base.kb.unionByName(more), base.k1, base.b, keep=False).predict_top_n(asked(s, d), 2)
+    base = rt.Bm25Agent.train(kb(s, d).select("idx", "input", "output", "weight"), 1.5, 0.0)
+    return base.append(more).predict_top_n(asked(s, d), 2)
+
+
+def can_answer(s, d):
+    return rt.can_answer(agent(s, d).confidence(asked(s, d)))
+
+
+def context_bm25(s, d):
+    """The items of each suite and language as a conversation, asked with the last two of them behind the question."""
+    items = table(s, d, "eval_items")
+    turns = items.select(F.concat_ws("/", "suite", "lang").alias("conv_id"), F.col("item_id").alias("turn"), "question", "answer")
+    return cx.ContextAgent(agent(s, d), 2).predict(turns).select("conv_id", "turn", "idx", "response")
 
 
 def exact_topn(s, d):
@@ -124,7 +135,7 @@ def context_query(s, d):
 def ensemble_best(s, d):
     q = asked(s, d)
     known = kb(s, d).select("idx", "input", F.struct(F.col("output.format").alias("format"), F.coalesce("output.value", F.lit("")).alias("value")).alias("output"), "weight")
-    bm25, exact = rt.Bm25Agent.train(known, keep=False), rt.ExactAgent(known)
+    bm25, exact = rt.Bm25Agent.train(known), rt.ExactAgent(known)
     return rt.ensemble([("tfidf", bm25.predict(q)), ("exact", exact.predict(q))])
 
 
@@ -222,6 +233,11 @@ QUERIES = {
     "bm25_topn": (bm25_topn, BM25 + "SELECT query_id, CAST(rank AS INTEGER) AS rank, idx, score, round(least(1, score / greatest(1, terms)), 6) AS confidence FROM ranked JOIN terms USING (query_id) WHERE rank <= 3"),
     "bm25_predict": (bm25_predict, BM25 + f"SELECT item_id AS query_id, r.idx, CASE WHEN r.idx IS NULL THEN '{rt.NO_MATCH}' ELSE response END AS response FROM eval_items e LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.query_id = item_id LEFT JOIN kb ON kb.idx = r.idx"),
     "bm25_confidence": (bm25_confidence, BM25 + "SELECT item_id AS query_id, coalesce(round(least(1, score / greatest(1, terms)), 6), 0) AS confidence FROM eval_items e LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.query_id = item_id LEFT JOIN terms t ON t.query_id = item_id"),
+    "can_answer": (can_answer, BM25 + "SELECT item_id AS query_id, coalesce(round(least(1, score / greatest(1, terms)), 6), 0) > 0.5 AS can_answer FROM eval_items e LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.query_id = item_id LEFT JOIN terms t ON t.query_id = item_id"),
+    "context_bm25": (context_bm25, BM25.replace("FROM (SELECT item_id, unnest(" + T('question') + ") AS term FROM eval_items)", "FROM (SELECT item_id, unnest(" + T('asked') + ") AS term FROM asked)").replace("WITH kb AS", f"""WITH items AS (SELECT item_id, concat_ws('/', suite, lang) AS conv_id, coalesce(question, '') AS question, coalesce(answer, '') AS answer FROM eval_items),
+hist AS (SELECT *, coalesce(list({{'q': question, 'a': answer}}) OVER (PARTITION BY conv_id ORDER BY item_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []) AS history FROM items),
+asked AS (SELECT item_id, conv_id, CASE WHEN {QA} = '' THEN question ELSE question || ' [Context: ' || {QA} || ']' END AS asked FROM hist),
+kb AS""") + f"SELECT conv_id, item_id AS turn, r.idx, CASE WHEN r.idx IS NULL THEN '{rt.NO_MATCH}' ELSE response END AS response FROM asked LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.query_id = item_id LEFT JOIN kb ON kb.idx = r.idx"),
     "bm25_append": (bm25_append, BM25.replace("SELECT idx, input, output.value AS response, weight FROM examples", "SELECT idx, input, weight FROM examples UNION ALL SELECT id + 1000000000000, input, CAST(weight AS FLOAT) FROM approved_data").replace("tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / (words / n)))", "tf * 2.5e0 / (tf + 1.5e0)")
         + "SELECT query_id, CAST(rank AS INTEGER) AS rank, idx, score, round(least(1, score / greatest(1, terms)), 6) AS confidence FROM ranked JOIN terms USING (query_id) WHERE rank <= 2"),
     "exact_topn": (exact_topn, """WITH q AS (SELECT idx AS query_id, upper(input) AS text FROM examples UNION ALL SELECT -item_id, question FROM eval_items),
@@ -250,7 +266,7 @@ sc AS (SELECT item_id AS query_id, id AS entry_id, round(dot / (norm * qnorm), 6
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id DESC) AS rank FROM sc WHERE score > 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, entry_id, score FROM r WHERE rank <= 5"""),
     "cosine_topk": (cosine_topk, f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round({_DOT.format('q.embedding', 'v.embedding')} / (sqrt({_DOT.format('q.embedding', 'q.embedding')}) * sqrt({_DOT.format('v.embedding', 'v.embedding')})), 5) AS score
- FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+ FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""),
     "inverted_index": (inverted_index, INDEX + "SELECT source_id, term, round(s, 6) AS tfidf_score FROM ix"),

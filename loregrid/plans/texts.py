@@ -108,11 +108,17 @@ def intent(s, d):
     return table(s, d, "messages").select("id", tx.settings_intent(F.col("content")).alias("i")).filter("i IS NOT NULL").select("id", "i.*").distinct()
 
 
+# The commands of the console, in the order they are looked through.
+COMMANDS = ["help", "clear", "status", "restart", "reset"]
+
+
 def did_you_mean(s, d):
-    names = F.array(*[F.lit(x) for x in ("help", "clear", "status", "history", "version")])
+    """For each word said in messages the first command it is near to but not equal to."""
+    names = F.array(*[F.lit(x) for x in COMMANDS])
     words = table(s, d, "messages").select(F.explode(tx.tokenize(F.col("content"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    near = words.select("word", "n", F.explode(names).alias("command")).withColumn("similarity", ax.jaro_winkler(F.col("word"), F.col("command")))
-    return near.filter("similarity > 0.85").select("word", "n", "command", F.round("similarity", 6).alias("similarity"))
+    near = words.select("word", "n", F.posexplode(names).alias("at", "command")).withColumn("similarity", ax.jaro_winkler(F.col("word"), F.col("command")))
+    first = near.filter("similarity > 0.85 AND word <> command").groupBy("word", "n").agg(F.min(F.struct("at", "command", "similarity")).alias("c"))
+    return first.select("word", "n", "c.command", F.round("c.similarity", 6).alias("similarity"))
 
 
 def json_props(s, d):
@@ -188,7 +194,8 @@ SELECT idx, CASE WHEN ends_with(s, '?') OR s = '' THEN s WHEN regexp_matches(low
 u AS (SELECT id, {_sql_first('l', tx.THEMES)} AS theme, {_sql_first('l', tx.COLOURS)} AS colour, {_has('l', tx.BACKGROUND_WORDS)} AS bg, {_sql_first('l', tx.LANGUAGES)} AS language FROM t)
 SELECT id, theme, colour, CASE WHEN colour IS NOT NULL THEN CASE WHEN bg THEN 'bg_color' ELSE 'accent_color' END END AS target, language FROM u WHERE theme IS NOT NULL OR colour IS NOT NULL OR language IS NOT NULL"""),
     "did_you_mean": (did_you_mean, f"""WITH w AS (SELECT unnest({TOKENS.format('content')}) AS word FROM messages), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1)
-SELECT word, n, command, round(jaro_winkler_similarity(word, command), 6) AS similarity FROM c CROSS JOIN (VALUES ('help'), ('clear'), ('status'), ('history'), ('version')) v(command) WHERE jaro_winkler_similarity(word, command) > 0.85"""),
+SELECT word, n, arg_min(command, place) AS command, round(arg_min(jaro_winkler_similarity(word, command), place), 6) AS similarity
+ FROM c CROSS JOIN (VALUES (0, 'help'), (1, 'clear'), (2, 'status'), (3, 'restart'), (4, 'reset')) v(place, command) WHERE word <> command AND jaro_winkler_similarity(word, command) > 0.85 GROUP BY 1, 2"""),
     "json_props": (json_props, "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events"),
     "dates": (dates, "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events"),
     "sha256": (sha256, "SELECT id, sha256(content) AS hash, lower(trim(content_hash)) = sha256(content) AS as_written FROM raw_data"),
