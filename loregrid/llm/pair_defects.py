@@ -1,11 +1,12 @@
 """Broken prompt and response pairs.
 
 Ordered rules on the answer of each pair: emptiness, copied question, refusal, unclosed delimiters and abrupt
-endings, language mismatch. `pair_defects` emits every triggered defect; `first_defect` keeps the first in that order.
+endings, mismatch of script and, within the Latin one, of language. `pair_defects` emits every triggered defect;
+`first_defect` keeps the first in that order.
 
-The rules are built-in expressions. Only abrupt endings look beyond their own row: how often each word ends a
-sentence anywhere in the data is counted over all answers with map-side combining, and the answers in question
-are joined with that vocabulary.
+The rules are built-in expressions, evaluated once: what a row alone can tell is written as flags. Only abrupt endings
+look beyond their own row: how often each word ends a sentence anywhere in the data is counted over all answers with
+map-side combining, and the answers in question are joined with that vocabulary.
 """
 
 from __future__ import annotations
@@ -92,33 +93,44 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _with_language(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the language whose function words a text has most of, null where none leads.
+#: Scripts whose letters are told apart; the last one is that of East Asia.
+SCRIPTS = {
+    "latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}",
+    "devanagari": r"\p{IsDevanagari}", "thai": r"\p{IsThai}", "hangul": r"\p{IsHangul}", "han": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}",
+}
 
-    Built in steps, each its own projection, so that no list of words is made twice.
-    """
-    df = df.withColumn("_low", F.concat(F.lit(" "), F.array_join(_tokens(F.col(text)), "  "), F.lit(" ")))
-    df = df.withColumns({f"_{k}": F.regexp_count("_low", F.lit(f" (?:{'|'.join(v.split())}) ")) for k, v in FUNCTION_WORDS.items()})
+
+def script(text: Column) -> Column:
+    """The script most letters of a text are of, null without letters. Only texts with letters of several are counted."""
+    letters = lambda k: F.length(F.regexp_replace(text, rf"[^{SCRIPTS[k]}]", ""))
+    most = F.array_max(F.array(*[F.struct(letters(k).alias("n"), F.lit(k).alias("script")) for k in SCRIPTS]))
+    latin = F.when(text.rlike(r"\p{IsLatin}"), F.lit("latin"))
+    return F.when(text.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), F.when(most["n"] > 0, most["script"])).otherwise(latin)
+
+
+def _with_language(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """df with the language whose function words an array of words has most of, null where none leads."""
+    among = lambda words: lambda w: w.isin(*words.split())
+    df = df.withColumns({f"_{k}": F.size(F.filter(F.col(tokens), among(v))) for k, v in FUNCTION_WORDS.items()})
     score = [F.col(f"_{k}") for k in FUNCTION_WORDS]
     df = df.withColumn("_best", F.greatest(*score))
     alone = sum((s == F.col("_best")).cast("int") for s in score) == 1
     leads = F.coalesce(*[F.when(F.col(f"_{k}") == F.col("_best"), F.lit(k)) for k in FUNCTION_WORDS])
-    return df.withColumn(out, F.when((F.col("_best") >= 2) & alone, leads)).drop("_low", "_best", *[f"_{k}" for k in FUNCTION_WORDS])
+    return df.withColumn(out, F.when((F.col("_best") >= 2) & alone, leads)).drop("_best", *[f"_{k}" for k in FUNCTION_WORDS])
 
 
 def _sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def _vocabulary(pairs: DataFrame) -> DataFrame:
+def _vocabulary(answers: DataFrame) -> DataFrame:
     """word, n (uses), ends (those at the end of a sentence or line), stops (those before a full stop), stem (begins a longer known word)."""
-    lines = pairs.select(F.explode(F.split("text", r"[.!?:]\s+|\n|[.!?]$")).alias("line"))
-    words = F.filter(F.split(F.lower("line"), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
-    spots = lines.select(words.alias("w")).select(F.posexplode("w").alias("i", "word"), F.size("w").alias("of"))
-    spots = spots.select("word", (F.col("i") == F.col("of") - 1).cast("int").alias("end"), F.lit(0).alias("stop"), F.lit(1).alias("use"))
-    closed = pairs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}'’-]+)[.!?](?:\s|$)"), F.lit(1))).alias("word"))
-    spots = spots.unionByName(closed.select("word", F.lit(0).alias("end"), F.lit(1).alias("stop"), F.lit(0).alias("use")))
-    known = spots.groupBy("word").agg(F.sum("use").alias("n"), F.sum("end").alias("ends"), F.sum("stop").alias("stops"))
+    pieces = answers.select(F.explode(F.split(F.lower("text"), r"(?<=[.!?])\s+|:\s+|\n")).alias("piece"))
+    words = F.filter(F.split("piece", r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
+    spots = pieces.select(words.alias("w"), F.col("piece").rlike(r"[\p{L}\p{N}'’-][.!?]$").alias("closed"))
+    spots = spots.select(F.posexplode("w").alias("i", "word"), F.size("w").alias("of"), "closed")
+    end = F.col("i") == F.col("of") - 1
+    known = spots.groupBy("word").agg(F.count("*").alias("n"), F.count_if(end).alias("ends"), F.count_if(end & F.col("closed")).alias("stops"))
     known = written(known, "answer-words")
     stems = known.filter("n >= 5 AND n > ends").select(
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), lambda k: F.substring("word", F.lit(1), k))).alias("word"),
@@ -131,72 +143,72 @@ def _vocabulary(pairs: DataFrame) -> DataFrame:
 def pair_defects(pairs: DataFrame, question: str, answer: str, fmt: str | None = None) -> DataFrame:
     """pairs with the column `defects`, an array of every triggered defect in the order of DEFECTS.
 
-    A null or blank question triggers neither copy nor other_language. A null answer is empty and nothing else.
-    Other columns are kept, whatever their names. Rows are never dropped, copies of a row included.
+    A null or blank question triggers neither copy nor other_language; a null or blank answer is empty. Whole texts
+    are judged, however long. Other columns are kept, whatever their names. Rows are never dropped, copies of a row
+    included; an empty table gives no rows.
     """
     q, value = F.col(question), F.col(answer)
     text = answer_text(value, F.col(fmt) if fmt else None)
-    work = pairs.select(F.struct(*[F.col(c) for c in pairs.columns]).alias("row"), q.alias("q"), value.alias("value"), F.coalesce(text, F.lit("")).alias("text"))
-    work = written(work, "pairs")
+    work = pairs.select(F.struct(*[F.col(c) for c in pairs.columns]).alias("row"), F.coalesce(q, F.lit("")).alias("q"), value.alias("value"), F.coalesce(text, F.lit("")).alias("text"))
     work = work.withColumn("plain", _plain(F.col("text")))
     bare = F.lower(F.regexp_replace("plain", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    empty = (F.col("value").isNull()) | (bare == "") | bare.isin(*PLACEHOLDERS) | bare.rlike(rf"^(?:{LABELS})$")
-    # copy: the words of the question, but for a few
-    qw, aw = F.array_join(_tokens(F.coalesce("q", F.lit(""))), " "), F.array_join(_tokens(F.col("plain")), " ")
+    work = work.withColumns({"bare": bare, "q_words": _tokens(F.col("q")), "a_words": _tokens(F.col("plain"))})
+    empty = F.col("value").isNull() | (F.col("bare") == "") | F.col("bare").isin(*PLACEHOLDERS) | F.col("bare").rlike(rf"^(?:{LABELS})$")
+    # copy: the words of the question, but for a few, or its first or last words
+    work = work.withColumns({"empty": empty, "qw": F.array_join("q_words", " "), "aw": F.array_join("a_words", " ")})
     allowed = F.greatest(F.lit(3), F.floor(F.length("qw") * 0.2)).cast("int")
     near = F.when(F.abs(F.length("qw") - F.length("aw")) <= allowed, F.levenshtein("qw", "aw"))
-    work = written(work.withColumns({"empty": empty, "qw": qw, "aw": aw}), "pair-words")
-    prefix = (F.length("aw") >= 0.6 * F.length("qw")) & F.col("qw").startswith(F.col("aw")) & (F.size(F.split("aw", " ")) >= 4)
-    last_question = F.array_join(_tokens(F.element_at(_sentences(F.coalesce("q", F.lit(" "))), -1)), " ")
-    copy = (F.length("qw") > 0) & (F.coalesce(near <= allowed, F.lit(False)) | prefix | ((F.size(F.split("aw", " ")) >= 4) & (F.col("aw") == last_question)))
-    # refusal: every sentence declines or is a courtesy, and one declines
+    long = F.size("a_words") >= 4
+    prefix = long & (F.length("aw") >= 0.6 * F.length("qw")) & F.col("qw").startswith(F.col("aw"))
+    suffix = long & F.col("qw").endswith(F.col("aw"))
+    last_question = F.when(suffix, F.array_join(_tokens(F.element_at(_sentences(F.when(F.col("q") == "", " ").otherwise(F.col("q"))), -1)), " "))
+    copy = (F.length("qw") > 0) & (F.length("aw") > 0) & (F.coalesce(near <= allowed, F.lit(False)) | prefix | F.coalesce(F.col("aw") == last_question, F.lit(False)))
+    # refusal: every sentence declines or is a courtesy, and one declines; the first that does neither ends the look
     sentence = lambda s: F.regexp_replace(F.lower(s), r"[.!?\s\"'”»]+$|^[\"'“«\s]+", "")
     declines = lambda s: s.rlike(rf"^{_POLITE}{_DECLINES}$") & s.rlike(_TOPIC)
     work = work.withColumn("copied", copy).withColumn("said", F.transform(_sentences(F.regexp_replace("plain", "’", "'")), sentence))
-    # the kind of each sentence: 2 declines, 1 is a courtesy, 0 says something
-    kinds = F.transform("said", lambda s: F.when(declines(s), 2).when(s.rlike(rf"^{_COURTESY}$"), 1).otherwise(0))
-    work = work.withColumn("kinds", F.when(F.size("said") <= 4, kinds).otherwise(F.array(F.lit(0))))
-    copy, refusal = F.col("copied"), (F.array_min("kinds") >= 1) & (F.array_max("kinds") == 2)
+    refusal = (F.size("said") > 0) & F.forall("said", lambda s: declines(s) | s.rlike(rf"^{_COURTESY}$")) & F.exists("said", declines)
     # truncated, as far as a row alone can tell
     t = F.rtrim(F.regexp_replace("text", r"[\p{Z}\p{C}\s]+$", ""))
-    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    work = work.withColumns({"refused": refusal, "t": t})
+    count = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))
     broken_json = F.trim("value").startswith("{") & F.get_json_object("value", "$").isNull()
-    fences = (F.regexp_count(t, F.lit("```")) % 2) == 1
-    line = F.trim(F.regexp_replace(F.element_at(F.split(t, "\n"), -1), r"^\s*(?:[-*•#>]+|\d+[.)])\s*", ""))
-    work = work.withColumns({"t": t, "line": line, "open": broken_json | fences | (count("(") > count(")")) | (count("[") > count("]")) | (count("{") > count("}"))})
-    listed = F.col("t").rlike(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+\S") & F.col("t").contains("\n")
+    fences = (F.regexp_count("t", F.lit("```")) % 2) == 1
+    line = F.trim(F.regexp_replace(F.element_at(F.split("t", "\n"), -1), r"^\s*(?:[-*•#>]+|\d+[.)])\s*", ""))
+    work = work.withColumns({"line": line, "open": broken_json | fences | (count("(") > count(")")) | (count("[") > count("]")) | (count("{") > count("}"))})
+    listed = F.col("t").contains("\n") & F.col("t").rlike(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+\S")
     code = F.col("t").endswith("```") | F.col("line").rlike(r"^(?:https?://|www\.)\S+$") | F.col("text").startswith("{")
-    done = F.col("line").rlike(_END) | code
-    n_words = F.size(F.split("line", r"\s+"))
+    work = work.withColumns({"done": F.col("line").rlike(_END) | code, "n_words": F.size(F.split("line", r"\s+"))})
+    work = work.withColumn("listed", ~F.col("done") & listed)
+    ends_open = ~F.col("done") & F.col("line").rlike(r"[,;:(\[{…‐–—-]$") | F.col("line").rlike(r"\S\s*\.\.\.$")
+    long_open = ~F.col("done") & ~F.col("listed") & (F.col("n_words") >= 6)
+    unsure = ~F.col("done") & (F.col("listed") | ((F.col("n_words") < 6) & (F.col("n_words") > 1)))
     work = work.withColumns({
-        "ends_open": ~done & F.col("line").rlike(r"[,;:(\[{…‐–—-]$") | F.col("line").rlike(r"\S\s*\.\.\.$"),
-        "long_open": ~done & ~listed & (n_words >= 6),
-        "unsure": ~done & (listed | ((n_words < 6) & (n_words > 1))),
-        "word": F.lower(F.regexp_extract("line", r"([\p{L}\p{N}'’-]+)[^\p{L}\p{N}]*$", 1)),
+        "broken_off": F.col("open") | ends_open | long_open,
+        "word": F.when(unsure, F.lower(F.regexp_extract("line", r"([\p{L}\p{N}'’-]+)[^\p{L}\p{N}]*$", 1))),
     })
+    # other language: another script, or within one the function words of another language
+    prose = F.when(F.col("plain").contains("```"), _tokens(F.regexp_replace("plain", r"(?s)```.*?(?:```|$)", " "))).otherwise(F.col("a_words"))
+    work = _with_language(_with_language(work.withColumn("prose", prose), "q_words", "ask"), "prose", "reply")
+    work = work.withColumns({"q_script": script(F.col("qw")), "a_script": script(F.array_join("prose", " "))})
+    mixed = F.col("q_script") != F.col("a_script")
+    other = F.coalesce(mixed | (F.col("ask") != F.col("reply")), mixed, F.lit(False)) & ~F.col("q").rlike(_ASKS_LANGUAGE)
+    # written once, so that no rule is repeated and no filter sinks below the rules
+    flags = work.withColumn("other", other).select("row", "text", "empty", "copied", "refused", "broken_off", "word", "other")
+    flags = written(flags, "pair-flags")
     # abrupt endings: a word that hardly ever ends a sentence, or the beginning of a longer word
-    asked = work.filter("unsure").select("word").distinct()
-    vocabulary = asked.join(_vocabulary(work), "word", "left")
+    vocabulary = flags.select("word").filter("word IS NOT NULL").distinct().join(_vocabulary(flags), "word", "left")
     n, ends = F.coalesce("n", F.lit(0)), F.coalesce("ends", F.lit(0))
-    inside = n - ends
-    abrupt = ((n >= 20) & (ends < 0.004 * n)) | ((inside <= 0) & (F.coalesce("stops", F.lit(0)) == 0) & F.coalesce("stem", F.lit(False)))
-    work = work.join(vocabulary.filter(abrupt).select("word", F.lit(True).alias("abrupt")), "word", "left")
-    truncated = F.col("open") | F.col("ends_open") | F.col("long_open") | (F.col("unsure") & F.coalesce("abrupt", F.lit(False)))
-    # other language
-    prose = F.regexp_replace("plain", r"(?s)```.*?(?:```|$)", " ")
-    work = _with_language(_with_language(work.withColumn("prose", prose), "q", "ask"), "prose", "reply")
-    asked_for = F.coalesce(F.col("q").rlike(_ASKS_LANGUAGE), F.lit(False))
-    other = F.col("ask").isNotNull() & F.col("reply").isNotNull() & (F.col("ask") != F.col("reply")) & ~asked_for
-    found = F.when(F.col("empty"), F.array(F.lit("empty"))).otherwise(
-        F.array_compact(F.array(F.when(copy, "copy"), F.when(refusal, "refusal"), F.when(truncated & ~copy, "truncated"), F.when(other, "other_language")))
-    )
-    return work.select("row.*", found.alias("defects"))
+    abrupt = ((n >= 20) & (ends < 0.004 * n)) | ((n - ends <= 0) & (F.coalesce("stops", F.lit(0)) == 0) & F.coalesce("stem", F.lit(False)))
+    flags = flags.join(vocabulary.filter(abrupt).select("word", F.lit(True).alias("abrupt")), "word", "left")
+    truncated = F.col("broken_off") | F.coalesce("abrupt", F.lit(False))
+    kinds = dict(zip(DEFECTS, (F.col("empty"), F.col("copied"), F.col("refused"), truncated, F.col("other"))))
+    return flags.select("row.*", F.array_compact(F.array(*[F.when(v, k) for k, v in kinds.items()])).alias("defects"))
 
 
 def first_defect(pairs: DataFrame, question: str, answer: str, fmt: str | None = None) -> DataFrame:
     """The rows of pairs with a defect, with the first one as `defect`."""
-    # written first: a filter on the defects would otherwise sink below the rules and repeat every one of them
-    found = written(pair_defects(pairs, question, answer, fmt), "defects").filter(F.size("defects") > 0)
+    found = pair_defects(pairs, question, answer, fmt).filter(F.size("defects") > 0)
     return found.withColumn("defect", F.col("defects")[0]).drop("defects")
 
 

@@ -209,6 +209,29 @@ def test_pair_defects(spark, q, a, defect):
     assert [r.defect for r in found] == ([defect] if defect else [])
 
 
+def test_refusal_of_any_length(spark):
+    said = "I'm sorry, but I cannot answer this question. I am not able to help. We can't discuss this. Unfortunately, I cannot comment on that. I will not provide it. I must decline to answer."
+    df = spark.createDataFrame([(1, "How deep is the lake?", said), (2, "How deep is the lake?", said + " The lake is nine metres deep at the mill.")], "id long, q string, a string")
+    assert [(r.id, r.defect) for r in pair_defects.first_defect(df, "q", "a").collect()] == [(1, "refusal")]
+
+
+def test_other_script(spark):
+    rows = [
+        ("How deep is the lake?", "Озеро имеет глубину девять метров."), ("How deep is the lake?", "湖深九米，冬天不开放。"), ("Какова глубина озера?", "It is nine metres deep at the mill."),
+        ("How deep is the lake?", "Nine metres (Russian: озеро)."), ("How deep is the lake?", "9"), ("Translate into Russian: the lake is deep, then translate it back.", "Озеро глубокое."), ("湖有多深？", "湖深九米。"),
+    ]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(rows)], "id long, q string, a string")
+    got = {r.id: r.defects for r in pair_defects.pair_defects(df, "q", "a").collect()}
+    assert [i for i in sorted(got) if "other_language" in got[i]] == [0, 1, 2]
+
+
+def test_every_triggered_defect(spark):
+    rows = [("How deep is the old lake at the mill (in metres", "how deep is the old lake at the mill (in metres"), ("How deep is the lake?", '{"answer": "'), ("Wie tief ist der See und wo ist die Mühle?", "I cannot answer this question, and")]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(rows)], "id long, q string, a string")
+    got = {r.id: r.defects for r in pair_defects.pair_defects(df, "q", "a").collect()}
+    assert got[0] == ["copy", "truncated"] and "truncated" in got[1] and {"refusal", "truncated", "other_language"} == set(got[2])
+
+
 def test_pair_defects_long_and_empty(spark):
     df = spark.createDataFrame([(1, "q", "The lake is deep. " * 20_000, "x")], PAIR).drop("defects")
     assert pair_defects.first_defect(df, "q", "a").count() == 0
