@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text.
 
 The corpus is read once, in shards: the documents of a partition, up to SHARD_WORDS words at a time. Each shard gets
-a suffix array over its words, and every suffix of every test passage is looked up in it by binary search. Verbatim
-matches are then joined along the document, and an exact check decides which documents hold enough of a passage.
-Nothing of the corpus is shuffled or sent anywhere; the test passages travel to the tasks in blocks of bounded size.
+a suffix array over its words, and every suffix of every test passage is looked up in it by binary search. What is
+found is carried on word by word to the longest verbatim matches with their places. Matches are then joined along the
+document, and an exact check decides which documents hold enough of a passage. Nothing of the corpus is shuffled or
+sent anywhere; the test passages travel to the tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -13,20 +14,27 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loregrid.session import written
+
 #: Words of one shard; bounds the memory of a task (a word takes about 60 bytes while a shard is worked on).
 SHARD_WORDS = 1_500_000
 #: Characters of test passages that travel to the tasks at once; larger test sets take several passes.
 BLOCK_CHARS = 16_000_000
 #: The share of a passage's words a document must hold, the share of a stretch that may be replaced or missing.
 HELD, SLACK = 1 / 3, 1 / 6
-#: Words of the shortest verbatim match looked for, and of the shortest stretch that counts.
-SEED, STRETCH = 5, 10
+#: Words of the shortest verbatim match looked for: with one word in six replaced, every stretch of eight words holds four in a row.
+SEED = 4
+#: Fewer words in common than LEAST are chance, if a passage has more. A second stretch counts from SECOND words, or from half of what must be held.
+LEAST, SECOND = 5, 10
+#: The share of what must be held that verbatim matches near two diagonals cover, and near each of them.
+COVERED, EACH = 0.75, 0.3
 
 _WORD = re.compile(r"[^\W_]+")
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
@@ -57,7 +65,11 @@ def without_stock_line(items: DataFrame) -> DataFrame:
 
 
 class TestSuffixes:
-    """All suffixes of the test passages, packed by their first SEED words."""
+    """All suffixes of the test passages, ranked by their first SEED words.
+
+    Ranks come by doubling: words, then pairs of words, then pairs of pairs, each numbered in sorted order, so that
+    the number of different words plays no part. A passage of fewer words is one suffix, ranked as a whole.
+    """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
@@ -68,52 +80,68 @@ class TestSuffixes:
             if words:
                 self.ids.append(item)
                 self.texts.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
-        self.bits = max(1, len(self.vocabulary).bit_length())
-        self.k = max(1, min(SEED, 62 // self.bits))
-        keys, item, at = [], [], []
-        for i, t in enumerate(self.texts):
-            packed = self.pack(np.array(t, np.int64))
-            keys.append(packed)
-            item.append(np.full(len(packed), i, np.int32))
-            at.append(np.arange(len(packed), dtype=np.int32))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        self.item = np.concatenate(item) if item else np.empty(0, np.int32)
-        self.at = np.concatenate(at) if at else np.empty(0, np.int32)
-        self.lengths = np.array([len(t) for t in self.texts], np.int32)
-
-    def pack(self, ids: np.ndarray) -> np.ndarray:
-        n = len(ids) - self.k + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        out = np.zeros(n, np.int64)
-        for j in range(self.k):
-            out = (out << self.bits) | ids[j : j + n]
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        stream = np.array([w for t in self.texts for w in (*t, 0)], np.int64)
+        item = np.repeat(np.arange(len(self.texts)), self.lengths + 1)
+        at = np.arange(len(stream)) - np.repeat(np.cumsum(self.lengths + 1) - self.lengths - 1, self.lengths + 1)
+        self.pairs: dict[int, np.ndarray] = {}
+        self.suffixes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        ranks = self.ranks(stream)
+        for k, rank in ranks.items():
+            own = np.flatnonzero(rank > 0)
+            own = own if k == SEED else own[(at[own] == 0) & (self.lengths[item[own]] == k)]
+            self.suffixes[k] = rank[own], item[own], at[own]
+
+    def ranks(self, stream: np.ndarray) -> dict[int, np.ndarray]:
+        """By number of words the rank of what begins at each place of a stream, 0 where no passage has it."""
+        out = {1: stream}
+        for k, (x, y) in {2: (1, 1), 3: (2, 1), 4: (2, 2)}.items():
+            rank = np.zeros(len(stream), np.int64)
+            n = max(0, len(stream) - x)
+            at = np.flatnonzero((out[x][:n] > 0) & (out[y][x : x + n] > 0))
+            key = (out[x][at] << 32) | out[y][at + x]
+            if k not in self.pairs:
+                self.pairs[k] = np.unique(key)
+            known = self.pairs[k]
+            if len(known):
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                rank[at] = np.where(known[place] == key, place + 1, 0)
+            out[k] = rank
         return out
 
-
-def _matches(test: TestSuffixes, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, place in the item, place in the stream) of every verbatim match of k words.
-
-    The suffix array holds the suffixes that begin with k words any passage has; others match nothing.
-    """
-    known = stream > 0
-    n = len(stream) - test.k + 1
-    if n <= 0 or not len(test.keys):
-        return (np.empty(0, np.int32),) * 3
-    viable = known[:n].copy()
-    for j in range(1, test.k):
-        viable &= known[j : j + n]
-    starts = np.flatnonzero(viable)
-    keys = np.zeros(len(starts), np.int64)
-    for j in range(test.k):
-        keys = (keys << test.bits) | stream[starts + j]
-    order = np.argsort(keys, kind="stable")
-    suffixes, keys = starts[order], keys[order]
-    low = np.searchsorted(keys, test.keys, "left")
-    count = np.searchsorted(keys, test.keys, "right") - low
-    found = np.repeat(np.arange(len(test.keys)), count)
-    offset = np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count)
-    return test.item[found], test.at[found], suffixes[np.repeat(low, count) + offset]
+    def needed(self) -> np.ndarray:
+        """Words of each passage that a document must hold."""
+        return np.maximum(np.ceil(self.lengths * HELD - 0.5), np.minimum(self.lengths, LEAST))
+
+
+def _matches(test: TestSuffixes, stream: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, document, place in the item, place in the stream, words) of every verbatim match that can't be longer."""
+    found = []
+    for k, rank in test.ranks(stream).items():
+        keys, of, start = test.suffixes[k]
+        if not len(keys):
+            continue
+        # the suffix array: places whose first words some passage has, in sorted order; others match nothing
+        places = np.flatnonzero(rank > 0)
+        suffixes = places[np.argsort(rank[places], kind="stable")]
+        ranked = rank[suffixes]
+        low = np.searchsorted(ranked, keys, "left")
+        count = np.searchsorted(ranked, keys, "right") - low
+        hit = np.repeat(np.arange(len(keys)), count)
+        offset = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
+        found.append((of[hit], start[hit], suffixes[np.repeat(low, count) + offset], np.full(len(hit), k)))
+    if not found:
+        return (np.empty(0, np.int64),) * 5
+    item, at, place, k = (np.concatenate(x) for x in zip(*found))
+    # matches one word on from each other are one longer match
+    doc = np.searchsorted(bounds, place, "right") - 1
+    order = np.lexsort((at, place - at, item))
+    item, at, place, doc, k = item[order], at[order], place[order], doc[order], k[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    words = np.diff(np.r_[first, len(item)]) + k[first] - 1
+    return item[first], doc[first], at[first], place[first], words
 
 
 def _stretches(passage: list[int], window: list[int], begin: int) -> list[tuple[int, int, int, int]]:
@@ -134,7 +162,7 @@ def _stretches(passage: list[int], window: list[int], begin: int) -> list[tuple[
                     wide = blocks[j].b + blocks[j].size - blocks[i].b
                     if blocks[j].size > 1 and max(span, wide) - held <= span * SLACK + (0.5 if span >= 18 else 0) and (best is None or held > best[0]):
                         best = (held, i, j, a, z)
-        if best is None or best[0] < STRETCH * 0.75:
+        if best is None:
             break
         _, i, j, a, z = best
         free.remove((a, z))
@@ -143,10 +171,10 @@ def _stretches(passage: list[int], window: list[int], begin: int) -> list[tuple[
     return out
 
 
-def _held(found: list[tuple[int, int, int, int]]) -> int:
+def _held(found: list[tuple[int, int, int, int]], needed: float) -> int:
     """Words of the passage in one stretch, or two that follow each other in both texts."""
-    long = [s for s in found if s[1] - s[0] >= STRETCH]
-    best = max((s[1] - s[0] for s in long), default=0)
+    best = max((s[1] - s[0] for s in found), default=0)
+    long = [s for s in found if s[1] - s[0] >= min(SECOND, needed / 2)]
     for x in long:
         for y in long:
             if x[1] <= y[0] and x[3] <= y[2]:
@@ -154,30 +182,46 @@ def _held(found: list[tuple[int, int, int, int]]) -> int:
     return best
 
 
-def _shard(test: TestSuffixes, docs: list[int], stream: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item_id, doc_id, words held, words of the passage) of one shard."""
-    item, at, place = _matches(test, stream)
+def _shard(test: TestSuffixes, docs: list[int], stream: np.ndarray, bounds: np.ndarray) -> list[tuple[int, ...]]:
+    """(item_id, doc_id, words held, words of the passage, place of the longest match in the passage, in the document, its words)."""
+    item, doc, at, place, words = _matches(test, stream, bounds)
     if not len(item):
         return []
-    doc = np.searchsorted(bounds, place, "right") - 1
-    out, near = [], []
-    # Matches of one stretch lie near one diagonal. Bands of diagonals, taken twice so that none is cut apart.
-    drift = 64
-    for shift in (0, drift // 2):
-        band = (place - at + shift) // drift
+    needed = test.needed()
+    # Matches of one stretch lie near one diagonal, as far from it as words may be missing. Bands of twice that
+    # breadth are taken twice, so that none is cut apart.
+    drift = np.maximum(8, np.ceil(test.lengths * SLACK).astype(np.int64) * 2)[item]
+    bands = []
+    for shift in (0, 1):
+        band = (place - at + shift * drift // 2) // drift
         order = np.lexsort((at, band, doc, item))
-        i, d, b, p = item[order], doc[order], band[order], at[order]
-        new = np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1])]
-        # words covered: k for the first match, for each further one as far as it goes beyond the one before
-        gain = np.where(new, test.k, np.minimum(np.r_[0, p[1:] - p[:-1]], test.k))
-        group = np.cumsum(new) - 1
-        covered = np.bincount(group, gain)
-        keep = covered >= 0.8 * STRETCH
+        i, d, b, p, w = item[order], doc[order], band[order], at[order], words[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1])
+        # words of the passage covered: those of each match that go beyond the one before
+        gain = np.where(new, w, np.clip(p + w - np.r_[0, (p + w)[:-1]], 0, w))
         first = np.flatnonzero(new)
-        low = np.minimum.reduceat(place[order], first)
-        high = np.maximum.reduceat(place[order], first)
-        near += zip(i[first][keep].tolist(), d[first][keep].tolist(), low[keep].tolist(), high[keep].tolist())
-    near.sort()
+        covered = np.add.reduceat(gain, first)
+        low, high = np.minimum.reduceat(place[order], first), np.maximum.reduceat(place[order] + w, first)
+        bands.append((i[first], d[first], covered, low, high, np.full(len(first), shift)))
+    i, d, covered, low, high, shift = (np.concatenate(x) for x in zip(*bands))
+    # the two bands that cover most of a passage, beside what replaced words break up
+    order = np.lexsort((-covered, shift, d, i))
+    i, d, covered, low, high, shift = i[order], d[order], covered[order], low[order], high[order], shift[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (shift[1:] != shift[:-1])
+    rank = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.flatnonzero(new)
+    both = np.add.reduceat(np.where(rank < 2, covered, 0), first)
+    keep = (both >= COVERED * needed[i[first]])[np.cumsum(new) - 1] & (covered >= EACH * needed[i])
+    near = sorted(zip(*(x[keep].tolist() for x in (i, d, low, high))))
+    longest = {}
+    order = np.lexsort((place, -words, doc, item))
+    new = np.ones(len(order), bool)
+    new[1:] = (item[order][1:] != item[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    for x in order[new].tolist():
+        longest[int(item[x]), int(doc[x])] = int(at[x]), int(place[x] - bounds[doc[x]]), int(words[x])
+    out = []
     k = 0
     while k < len(near):
         i, d = near[k][:2]
@@ -194,14 +238,14 @@ def _shard(test: TestSuffixes, docs: list[int], stream: np.ndarray, bounds: np.n
         for a, z in ranges:
             a, z = max(a, int(bounds[d])), min(z, int(bounds[d + 1]))
             found += _stretches(test.texts[i], stream[a:z].tolist(), a)
-        held = _held(found)
-        if held >= HELD * size - 0.5:
-            out.append((test.ids[i], docs[d], held, size))
+        held = _held(found, float(needed[i]))
+        if held >= needed[i]:
+            out.append((test.ids[i], docs[d], held, size, *longest[i, d]))
     return out
 
 
 def _scan(test: TestSuffixes, id_column: str, text_column: str):
-    schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("held", pa.int32()), ("words", pa.int32())])
+    schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int32()) for c in ("held", "words", "at", "place", "longest")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
@@ -211,7 +255,7 @@ def _scan(test: TestSuffixes, id_column: str, text_column: str):
         def done() -> pa.RecordBatch:
             bounds = np.r_[0, np.cumsum([len(x) for x in parts])]
             rows = _shard(test, docs, np.concatenate(parts), bounds)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, schema.types)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
 
         known = test.vocabulary
         for batch in batches:
@@ -232,22 +276,23 @@ def _scan(test: TestSuffixes, id_column: str, text_column: str):
 
 
 def leaked(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(item_id, doc_id, held, words): documents that hold at least a third of a passage, in one or two stretches.
+    """(item_id, doc_id, held, words, at, place, longest): documents that hold at least a third of a passage, in one or two stretches.
 
-    Null and empty texts hold nothing; a document listed twice comes out twice. A passage shorter than SEED words
-    is looked for as a whole only if all passages are; such passages hold too little to be told from chance.
+    held of the words of the passage; the longest verbatim match has `longest` words, from word `at` of the passage and
+    word `place` of the document. Null and empty texts hold nothing; a document listed twice comes out twice. Of a
+    passage of under three times LEAST words, LEAST must be held, or all if it has fewer.
     """
     corpus = documents.select(id_column, text_column)
-    out = None
     passages = without_stock_line(items)
     blocks = passages.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("n")).first()["n"] // BLOCK_CHARS + 1
+    parts = []
     for b in range(blocks):
-        # At most BLOCK_CHARS characters on the driver at once, in expectation; the test set is small by its nature.
+        # BLOCK_CHARS characters on the driver at once, about; what a block finds is written before the next one comes
         block = passages.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         test = TestSuffixes([(r.item_id, r.passage) for r in block.toLocalIterator()])
-        part = corpus.mapInArrow(_scan(test, id_column, text_column), "item_id bigint, doc_id bigint, held int, words int")
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = corpus.mapInArrow(_scan(test, id_column, text_column), "item_id bigint, doc_id bigint, held int, words int, at int, place int, longest int")
+        parts.append(written(found, "leaks") if blocks > 1 else found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

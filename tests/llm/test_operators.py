@@ -357,3 +357,46 @@ def test_spam_of_sentences_made_of_a_keyword(spark):
     # the rules leave pages open that the trees judge
     assert any(known[p] is None and got[p] for p in got)
     assert {(r.label, r.said) for r in spam.held_out(found).collect()} <= {(0.0, 0.0), (1.0, 1.0)}
+
+
+def test_leakage_of_short_passages(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    say = lambda n: [word() for _ in range(n)]
+    eight, two, long = say(8), say(2), say(24)
+    items = spark.createDataFrame([(1, " ".join(eight)), (2, " ".join(two)), (3, " ".join(long))], "item_id long, passage string")
+    docs = [
+        (1, " ".join(say(30) + eight + say(30))), (2, " ".join(say(5) + two + say(5))), (3, " ".join(say(12) + long[6:15] + say(12))), (4, " ".join(say(12) + long[6:12] + say(12))),
+        (5, " ".join(eight[:4] + say(3) + eight[4:])), (6, " ".join(eight)),
+    ]
+    got = {(r.item_id, r.doc_id): (r.held, r.at, r.place, r.longest) for r in leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 3), (1, 5), (1, 6)}
+    # the longest verbatim match and where it stands
+    assert got[1, 1] == (8, 0, 30, 8) and got[3, 3] == (9, 6, 12, 9) and got[2, 2] == (2, 0, 5, 2)
+
+
+def test_verbatim_matches_against_brute_force():
+    import numpy as np
+
+    random.seed(10)
+    # more different words than any packing of ranks into one key could hold
+    rare = [(f"r{i}x", " ".join(f"w{i}a{k}" for k in range(40))) for i in range(1200)]
+    words = [random.choice("abc") for _ in range(60)]
+    test = leakage.TestSuffixes([(0, " ".join(words)), *[(i + 1, t) for i, (_, t) in enumerate(rare)]])
+    assert len(test.vocabulary) > 1 << 15
+    docs = [[random.choice("abcz") for _ in range(80)] for _ in range(3)] + [rare[7][1].split()[3:30]]
+    stream = np.array([x for t in docs for x in (*(test.vocabulary.get(w, 0) for w in t), 0)], np.int64)
+    bounds = np.r_[0, np.cumsum([len(t) + 1 for t in docs])]
+    got = {tuple(int(v) for v in x) for x in zip(*leakage._matches(test, stream, bounds))}
+    want = {(8, 3, 3, int(bounds[3]), 27)}
+    for d, t in enumerate(docs[:3]):
+        for i in range(60):
+            for j in range(80):
+                if i and j and words[i - 1] == t[j - 1]:
+                    continue
+                n = 0
+                while i + n < 60 and j + n < 80 and words[i + n] == t[j + n]:
+                    n += 1
+                if n >= leakage.SEED:
+                    want.add((0, d, i, int(bounds[d]) + j, n))
+    assert got == want
