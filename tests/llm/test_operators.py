@@ -132,6 +132,49 @@ def test_dedup_of_chained_edits_in_batches(spark):
     assert parts == {(r.first_id, r.id) for r in history_dedup.match(df)[0].collect()} == {(1, 2), (1, 4), (1, 5)}
 
 
+def test_dedup_of_short_bodies(spark):
+    line = lambda p, n: " ".join(f"{p}{chr(97 + j)}" for j in range(n))
+    bodies = [line("m", 8), line("m", 8).replace("mc", "x"), "\n".join(sorted(["aa ab", "ac ad", "ae", "af ag ah"])), "\n".join(sorted(["aa ab", "ac ad", "ae", "af ag x", "ai"])), line("m", 8).replace("mc", "x").replace("mf", "y").replace("mh", "z")]
+    df = spark.createDataFrame(list(enumerate(bodies, 1)), "id long, body string")
+    found = {(r.first_id, r.id) for r in history_dedup.match(df)[0].collect()}
+    want = {(i, j) for j in range(1, 6) for i in range(1, j) if history_dedup.same_body(bodies[i - 1], bodies[j - 1])}
+    assert want == {(1, 2), (3, 4), (2, 5)} and found == {(1, 2), (3, 4), (1, 5)}
+
+
+def test_dedup_near_bodies_of_random_edits(spark):
+    random.seed(12)
+    words = ["".join(random.choice("bcdfghjklmnprstvw") + random.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    bodies, firsts = [], []
+    for i in range(1, 241):
+        if i > 60:
+            lines = [x.split(" ") for x in firsts[i % 60]]
+            flat = [(a, b) for a, x in enumerate(lines) for b in range(len(x))]
+            for a, b in random.sample(flat, int(random.random() * 0.15 * len(flat))):
+                lines[a][b] = random.choice(words)
+            random.shuffle(lines)
+            bodies.append("\n".join(sorted(" ".join(x) for x in lines)))
+        else:
+            firsts.append([" ".join(random.choice(words) for _ in range(random.randint(2, 20))) for _ in range(random.randint(1, 12))])
+            bodies.append("\n".join(sorted(firsts[-1])))
+    df = spark.createDataFrame(list(enumerate(bodies, 1)), "id long, body string")
+    index, got = None, {}
+    for a, b in ((0, 90), (90, 150), (150, 240)):
+        found, index = history_dedup.match(df.filter((F.col("id") > a) & (F.col("id") <= b)), index)
+        got |= {r.id: r.first_id for r in found.collect()}
+    near = [i for i in range(61, 241) if history_dedup.same_body(bodies[i % 60], bodies[i - 1])]
+    assert len(near) > 150 and sum(got.get(i) == i % 60 + 1 for i in near) >= 0.97 * len(near)
+
+
+def test_repeated_pages_by_runs(spark):
+    line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
+    page = lambda p: "\n".join(line(p, i) for i in range(8))
+    rows = [(i, None if i == 1 else i // 4, None, f"t{i}", page("abcdefgh"[i % 8]).replace("aa", f"x{i}" if i % 3 else "aa")) for i in range(1, 41)]
+    raw = spark.createDataFrame(rows, "id long, bot_run_id long, url string, title string, content string")
+    assert len(history_dedup.run_ranges(raw)) == 4
+    one, four = (sorted(tuple(r) for r in history_dedup.repeated_pages(raw, n).collect()) for n in (1, 4))
+    assert one == four and len(one) == 32 and all(a == (b % 8 or 8) for a, b in one)
+
+
 def test_same_body_bounds():
     a = "\n".join(f"w{i}a w{i}b w{i}c w{i}d" for i in range(5))
     assert history_dedup.same_body(a, "\n".join(reversed(a.split("\n"))))
