@@ -327,6 +327,17 @@ def test_packing_is_valid(spark):
     assert packing.packed(spark.createDataFrame(docs, DOC).limit(0), sizes).count() == 0
 
 
+def test_packing_report_and_no_sizes(spark):
+    random.seed(5)
+    docs = spark.createDataFrame([(i, "word " * random.randint(20, 60)) for i in range(300)], "doc_id long, text string")
+    sizes = spark.createDataFrame([(1, 100)], "size_id int, max_tokens int")
+    (r,) = packing.search_report(docs, sizes).collect()
+    # the search, not the fit it starts from, makes the packing
+    assert r.least <= r.bins < r.start and r.move + r.exchange + r.two_for_one + r.one_for_two > 0
+    assert r.bins == packing.packed(docs, sizes).select("bin").distinct().count()
+    assert packing.packed(docs, sizes.limit(0)).count() == 0 and packing.packed(docs.limit(0), sizes).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_local_search_never_loses_items(seed):
     random.seed(seed)
