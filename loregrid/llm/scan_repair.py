@@ -3,7 +3,9 @@
 Lines of all pages are laid out as rows. Running headers, footers and page numbers are lines at the edge of a page
 that come back on other pages of the file once digits are masked and glyphs that scanners confuse are drawn together.
 Words are grouped by such a skeleton over all files; a rare form beside a far more frequent one of the same skeleton
-is a misreading of it. Words broken at line ends are told from hyphenated compounds by what is a word elsewhere.
+is a misreading. Where several frequent forms share the skeleton, the words before and behind decide which of them was
+meant: the one that stands between such neighbours most often elsewhere, which also keeps languages apart. Words broken
+at line ends are told from hyphenated compounds by what is a word elsewhere.
 Lines are then reflowed into paragraphs with SQL windows over blocks of pages, so that no file lies in one task.
 """
 
@@ -58,10 +60,11 @@ def lines_of(pages: DataFrame) -> DataFrame:
     pages: page_id, pdf_id, page_number, text. Null texts have no lines. A null pdf_id is a file of its own page.
     """
     p = pages.select("page_id", F.coalesce("pdf_id", -F.col("page_id") - 1).alias("pdf_id"), F.coalesce("page_number", F.lit(0)).alias("page_number"), "text").distinct()
-    rows = p.select("page_id", "pdf_id", "page_number", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    rows = rows.withColumn("text", F.regexp_replace("text", "\r", " ")).filter(F.length(F.regexp_replace("text", r"[\p{Z}\p{C}\s]", "")) > 0).withColumn("line_no", F.col("at") + 1).drop("at")
-    w = Window.partitionBy("pdf_id", "page_number", "page_id")
-    return rows.withColumn("top", F.row_number().over(w.orderBy("line_no"))).withColumn("n", F.count("*").over(w)).withColumn("bottom", F.col("n") - F.col("top") + 1)
+    # a page is one row, so places are counted before its lines become rows of their own
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_replace(x, "\r", " ").alias("text")))
+    shown = F.filter(lines, lambda x: x["text"].rlike(r"[^\p{Z}\p{C}\s]"))
+    rows = p.select("page_id", "pdf_id", "page_number", shown.alias("lines")).select("page_id", "pdf_id", "page_number", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line"))
+    return rows.select("page_id", "pdf_id", "page_number", "line.line_no", "line.text", (F.col("at") + 1).alias("top"), "n", (F.col("n") - F.col("at")).alias("bottom"))
 
 
 def _running(lines: DataFrame) -> DataFrame:
@@ -160,15 +163,54 @@ def misread_forms(words: DataFrame, others: DataFrame | None = None) -> DataFram
     return judged.join(best, "shape").filter(rare & (F.col("word") != F.col("form"))).select("word", "form")
 
 
+def _stray(line: Column) -> Column:
+    """Whether a line has stray characters in words, or digits mixed with what is read for them."""
+    odd = F.when(line.rlike(r"[·*|~^_�!¦§°¨`´]"), line.rlike(_STRAY)).otherwise(False)
+    return odd | F.when(line.rlike(r"\d[lIO|]|[lIO|]\d"), line.rlike(_MIXED)).otherwise(False)
+
+
+def _words(line: str) -> Column:
+    return F.split(F.trim(F.col(line)), r"\s+")
+
+
+def in_context(spots: DataFrame, text: DataFrame, words: DataFrame) -> DataFrame:
+    """(page_id, line_no, at, meant): for misread words that could be one of several frequent forms, the one its neighbours support.
+
+    spots: page_id, line_no, at, word. Support is how often a form stands behind the word before or before the word
+    behind, anywhere in the text; ties go to the more frequent form.
+    """
+    plain = F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$")
+    frequent = words.filter(plain & (F.col("n") >= KNOWN)).select(skeleton(F.col("word")).alias("shape"), F.col("word").alias("meant"), F.col("n").alias("uses")).filter("shape <> ''")
+    several = frequent.groupBy("shape").agg(F.count("*").alias("forms")).filter("forms > 1").select("shape")
+    rivals = written(frequent.join(several, "shape"), "rival-forms")
+    asked = spots.select("page_id", "line_no", "at", skeleton(F.col("word")).alias("shape")).join(rivals, "shape")
+    parts = _words("text")
+    beside = text.join(asked.select("page_id", "line_no").distinct(), ["page_id", "line_no"]).select("page_id", "line_no", F.transform(parts, lambda w: _bare(w)).alias("w"))
+    asked = asked.join(beside, ["page_id", "line_no"]).select("page_id", "line_no", "at", "meant", "uses", F.get("w", F.col("at") - 1).alias("left"), F.get("w", F.col("at") + 1).alias("right"))
+    asked = written(asked, "asked-forms")
+    wanted = asked.select(F.col("left").alias("a"), F.col("meant").alias("b")).unionByName(asked.select(F.col("meant").alias("a"), F.col("right").alias("b")))
+    wanted = written(wanted.filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "asked-pairs")
+    # only pairs with a form in question are put together at all
+    either = wanted.select(F.explode(F.array("a", "b")).alias("word")).join(rivals.select(F.col("meant").alias("word")).distinct(), "word", "left_semi").distinct()
+    ways = text.select(F.transform(parts, lambda w: _bare(w)).alias("w")).filter(F.size("w") > 1)
+    ways = ways.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("p")).select("p.*")
+    ways = ways.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n")) if not either.isEmpty() else wanted.limit(0).withColumn("n", F.lit(0))
+    ways = written(ways, "supported-pairs")
+    before = ways.select(F.col("a").alias("left"), F.col("b").alias("meant"), F.col("n").alias("before"))
+    behind = ways.select(F.col("a").alias("meant"), F.col("b").alias("right"), F.col("n").alias("behind"))
+    scored = asked.join(before, ["left", "meant"], "left").join(behind, ["meant", "right"], "left")
+    support = F.coalesce("before", F.lit(0)) + F.coalesce("behind", F.lit(0))
+    return scored.groupBy("page_id", "line_no", "at").agg(F.max_by("meant", F.struct(support, "uses", "meant")).alias("meant"))
+
+
 def analysed(pages: DataFrame) -> DataFrame:
     """Each line with what was found: running, split (it ends inside a word), joined (that word), fixes (raw, fixed), misread, starts_inside."""
     lines = written(lines_of(pages), "page-lines")
     running = written(_running(lines), "running-lines")
     more = _interrupting(lines.join(running, ["page_id", "line_no"], "left_anti"))
-    running = running.unionByName(more).withColumn("running", F.lit(True))
-    lines = lines.join(running, ["page_id", "line_no"], "left").withColumn("running", F.coalesce("running", F.lit(False)))
-    lines = written(lines, "marked-lines")
-    text = written(_next_lines(lines.filter("NOT running")), "text-lines")
+    running = written(running.unionByName(more).distinct(), "all-running-lines")
+    at = ["page_id", "line_no"]
+    text = written(_next_lines(lines.join(running, at, "left_anti")).withColumn("stray", _stray(F.col("text"))), "text-lines")
     words = written(vocabulary(text), "page-words")
     forms = written(misread_forms(words), "misread-forms")
     known = words.filter((F.col("n") >= KNOWN)).select("word")
@@ -178,7 +220,7 @@ def analysed(pages: DataFrame) -> DataFrame:
     hyphen = F.col("text").rlike(_BROKEN)
     left = F.lower(F.regexp_replace(F.regexp_replace(tail, _BROKEN, ""), r"^[\s\"'«»“”„‚‘’(\[¿¡]+", ""))
     right = _bare(head)
-    ends = text.filter("next IS NOT NULL").select("page_id", "line_no", hyphen.alias("hyphen"), left.alias("left"), right.alias("right"), F.regexp_extract(tail, rf"([{HYPHENS}]+)\s*$", 1).alias("mark"))
+    ends = text.filter("next IS NOT NULL").select("page_id", "line_no", "next_at", hyphen.alias("hyphen"), left.alias("left"), right.alias("right"), F.regexp_extract(tail, rf"([{HYPHENS}]+)\s*$", 1).alias("mark"))
     ends = ends.filter((F.col("left").rlike(r"\p{L}$|\p{L}\P{L}$")) & F.col("right").rlike(r"^\P{L}?\p{L}"))
     ends = ends.withColumns({"whole": F.concat("left", "right"), "compound": F.concat_ws("-", "left", "right")})
     for column, flag in (("whole", "whole_ok"), ("compound", "compound_ok"), ("left", "left_ok"), ("right", "right_ok")):
@@ -188,15 +230,16 @@ def analysed(pages: DataFrame) -> DataFrame:
     sound = F.col("whole_ok") | F.col("whole_form").isNotNull()
     strange = ~F.col("left_ok") | ~F.col("right_ok")
     split = F.when(F.col("hyphen"), ~F.col("compound_ok") & (sound | strange | (F.length("mark") > 1))).otherwise(sound & strange & ~(F.col("left_ok") & (F.length("right") > 3)) & (~F.col("left_ok") | ~F.col("right_ok")))
-    ends = ends.select("page_id", "line_no", split.alias("split"), F.when(split, F.coalesce("whole_form", "whole")).alias("joined"), "left", "right")
-    ends = written(ends, "line-ends")
-    text = text.join(ends.select("page_id", "line_no", "split", "joined"), ["page_id", "line_no"], "left").fillna(False, ["split"])
+    ends = ends.withColumn("split", split).filter("split").select("page_id", "line_no", "next_at", F.coalesce("whole_form", "whole").alias("joined"))
+    ends = written(ends, "split-lines")
+    # one row for each line that ends or starts inside a word; all others have neither
+    broken = ends.select("page_id", "line_no", F.lit(True).alias("split"), "joined", F.lit(False).alias("starts_inside"))
+    broken = broken.unionByName(ends.select("next_at.page_id", "next_at.line_no", F.lit(False).alias("split"), F.lit(None).cast("string").alias("joined"), F.lit(True).alias("starts_inside")))
+    broken = written(broken.groupBy(*at).agg(F.max("split").alias("split"), F.max("joined").alias("joined"), F.max("starts_inside").alias("starts_inside")), "broken-lines")
+    text = text.join(broken, at, "left").fillna(False, ["split", "starts_inside"])
     # misread words: strays are seen at once, other forms by the vocabulary; halves of broken words are no words
-    parts = F.split(F.trim("text"), r"\s+")
-    inside = text.filter("split").select(F.col("next_at.page_id").alias("page_id"), F.col("next_at.line_no").alias("line_no")).distinct()
-    text = text.join(inside.withColumn("starts_inside", F.lit(True)), ["page_id", "line_no"], "left").fillna(False, ["starts_inside"])
-    text = written(text.withColumn("stray", F.col("text").rlike(_STRAY) | F.col("text").rlike(_MIXED)), "split-lines")
-    tokens = text.select("page_id", "line_no", F.posexplode(parts).alias("at", "raw"), F.size(parts).alias("of"), "split", "starts_inside", "top")
+    parts = _words("text")
+    tokens = text.select("page_id", "line_no", F.posexplode(parts).alias("at", "raw"), F.size(parts).alias("of"), "split", "starts_inside")
     tokens = tokens.filter(~(F.col("split") & (F.col("at") == F.col("of") - 1)) & ~(F.col("starts_inside") & (F.col("at") == 0)))
     tokens = tokens.filter(~F.col("raw").rlike(_CODE)).withColumn("word", _bare(F.col("raw")))
     # forms that stand only at the ends of lines, now that halves of broken words are known; what ends in a dash, even a misread one, is a half as well
@@ -204,14 +247,16 @@ def analysed(pages: DataFrame) -> DataFrame:
     outer = tokens.filter(((F.col("at") == 0) | last) & ~(last & F.col("raw").rlike(rf"[{HYPHENS}–—=~_]$")) & (F.col("word") != ""))
     outer = outer.groupBy("word").agg(F.count("*").alias("n"))
     outer = written(outer.join(words.select("word"), "word", "left_anti"), "outer-words")
-    forms = forms.unionByName(misread_forms(words, outer))
+    forms = written(forms.unionByName(misread_forms(words, outer)), "all-misread-forms")
+    spots = written(tokens.join(forms, "word").select("page_id", "line_no", "at", "raw", "word", "form"), "misread-words")
+    spots = spots.join(in_context(spots, text, words), [*at, "at"], "left").withColumn("form", F.coalesce("meant", "form"))
     cased = F.when(F.col("raw").rlike(r"^\P{L}*\p{Lu}"), F.initcap("form")).otherwise(F.col("form"))
     fixed = F.concat(F.regexp_extract("raw", r"^([\s\"'«»“”„‚‘’(\[¿¡]*)", 1), cased, F.regexp_extract("raw", r"([\s.,;:?\"«»“”‘’)\]…]*)$", 1))
-    fixes = tokens.join(forms, "word").select("page_id", "line_no", F.struct("raw", fixed.alias("fixed")).alias("fix"))
-    fixes = fixes.groupBy("page_id", "line_no").agg(F.sort_array(F.collect_set("fix")).alias("fixes"))
-    text = text.join(fixes, ["page_id", "line_no"], "left").withColumn("misread", F.col("stray") | F.col("fixes").isNotNull())
+    fixes = spots.select("page_id", "line_no", F.struct("raw", fixed.alias("fixed")).alias("fix"))
+    fixes = fixes.groupBy(*at).agg(F.sort_array(F.collect_set("fix")).alias("fixes"))
+    text = text.join(fixes, at, "left").withColumn("misread", F.col("stray") | F.col("fixes").isNotNull()).withColumn("running", F.lit(False))
     columns = ["page_id", "pdf_id", "page_number", "line_no", "text", "next", "running", "split", "joined", "fixes", "misread", "starts_inside"]
-    rest = lines.filter("running")
+    rest = lines.join(running, at, "left_semi").withColumn("running", F.lit(True))
     for c, kind in (("next", "string"), ("split", "boolean"), ("joined", "string"), ("misread", "boolean"), ("starts_inside", "boolean")):
         rest = rest.withColumn(c, F.lit(False if kind == "boolean" else None).cast(kind))
     rest = rest.withColumn("fixes", F.lit(None).cast("array<struct<raw:string,fixed:string>>"))
@@ -221,7 +266,7 @@ def analysed(pages: DataFrame) -> DataFrame:
 def found(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, kind) with kinds running, split and misread; a line may have several."""
     kinds = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("running", "split", "misread")]))
-    return written(analysed(pages), "page-kinds").select("page_id", "line_no", F.explode(kinds).alias("kind"))
+    return analysed(pages).select("page_id", "line_no", F.explode(kinds).alias("kind"))
 
 
 def repaired_lines(pages: DataFrame) -> DataFrame:
