@@ -170,7 +170,9 @@ def test_repeated_pages_by_runs(spark):
     page = lambda p: "\n".join(line(p, i) for i in range(8))
     rows = [(i, None if i == 1 else i // 4, None, f"t{i}", page("abcdefgh"[i % 8]).replace("aa", f"x{i}" if i % 3 else "aa")) for i in range(1, 41)]
     raw = spark.createDataFrame(rows, "id long, bot_run_id long, url string, title string, content string")
-    assert len(history_dedup.run_ranges(raw)) == 4
+    ranges = history_dedup.run_ranges(raw)
+    # cuts are first ids of runs
+    assert len(ranges) == 4 and all(end is None or end % 4 == 0 for _, end in ranges)
     one, four = (sorted(tuple(r) for r in history_dedup.repeated_pages(raw, n).collect()) for n in (1, 4))
     assert one == four and len(one) == 32 and all(a == (b % 8 or 8) for a, b in one)
 
