@@ -55,13 +55,15 @@ _NEXT = re.compile(r"[ \t]*(.?)", re.S)
 
 def split_sentences(text: str) -> list[str]:
     """Sentences of a document: . ! ? before a capital, a line end or the end; not in brackets, numbers or abbreviations."""
-    out, start = [], 0
+    out, start, counted, deep = [], 0, 0, 0
     for m in re.finditer(r"\.\.\.|[.!?]", text):
         i, end = m.start(), m.end()
         if i < start or m.group() == "...":
             continue
-        so_far = text[start:end]
-        if so_far.count("(") > so_far.count(")"):
+        # brackets open since the sentence began, counted on from mark to mark
+        deep += text.count("(", counted, end) - text.count(")", counted, end)
+        counted = end
+        if deep > 0:
             continue
         if m.group() == ".":
             if text[max(0, i - 1) : i].isdigit() and text[end : end + 1].isdigit():
@@ -74,9 +76,9 @@ def split_sentences(text: str) -> list[str]:
                 continue
         after = _NEXT.match(text, end)[1]
         if after == "" or after == "\n" or after.isupper():
-            if s := so_far.strip():
+            if s := text[start:end].strip():
                 out.append(s + " ")
-            start = end
+            start, deep = end, 0
     if rest := text[start:].strip():
         out.append(rest)
     return out

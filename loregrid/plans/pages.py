@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from loregrid.functions import arrow as ax
 from loregrid.functions import text as tx
+from loregrid.operators import pipeline
 from loregrid.operators import tables as tb
+from loregrid.operators.crawl import reached
+from loregrid.plans.retrieval import CHATS, HIST, QA
 from loregrid.session import table
 from loregrid.streaming import live
 
@@ -92,11 +95,43 @@ def page_hosts(s, d):
     return table(s, d, "crawled_pages").select(host.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
 
 
+def _linked(s, d):
+    """Pages as HTML that links to their section, their site, a place of their own and another site."""
+    hrefs = ["./", "/", "#top", "https://elsewhere.invalid/", "mailto:desk@elsewhere.invalid"]
+    page = F.concat(F.lit("<html><body><nav>" + "".join(f'<a href="{h}">' for h in hrefs) + "</nav><p>"), F.replace("title", F.lit("<"), F.lit("&lt;")), F.lit("</p></body></html>"))
+    pages = table(s, d, "crawled_pages").filter("url IS NOT NULL").select("page_id", "url", F.coalesce(page, F.lit("".join(f'<a href="{h}">' for h in hrefs))).alias("html"))
+    return pages.select("page_id", "url", F.explode(ax.html_parts(F.col("html"), F.col("url"))["links"]).alias("link"))
+
+
 def page_links(s, d):
-    """Pages of one host as links in the order of ids: what each page would reach at depth one, with duplicates kept."""
-    rows = table(s, d, "crawled_pages").select("page_id", "url", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"))
-    path = F.try_parse_url("url", F.lit("PATH"))
-    return rows.select("page_id", "host", path.alias("path"), F.size(F.filter(F.split(path, "/"), lambda x: x != "")).alias("depth"))
+    """The links of each page, resolved against its own address, to the same host only."""
+    return _linked(s, d).select("page_id", "link")
+
+
+def crawl_reach(s, d):
+    """What a crawl reaches in two steps from one page of each host, where sections list their pages."""
+    links = _linked(s, d).select(F.col("url").alias("src"), F.col("link").alias("dst"))
+    up = links.filter(F.col("dst").endswith("/"))
+    both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seeds = table(s, d, "crawled_pages").groupBy(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).agg(F.min("url").alias("url"))
+    return reached(both, seeds, 2)
+
+
+def process_pending(s, d):
+    """The pairs a processing run adds, sentence by sentence."""
+    return pipeline.process_pending(table(s, d, "raw_data"), "sentence").pairs.filter("added").select("raw_id", "input", "output")
+
+
+def process_counts(s, d):
+    return pipeline.process_pending(table(s, d, "raw_data")).counts
+
+
+def approved_marked(s, d):
+    """What add-to-KB leaves: rows by their mark, before and after."""
+    before = table(s, d, "approved_data")
+    after = pipeline.added_to_kb(table(s, d, "examples"), before)[1]
+    count = lambda df, at: df.groupBy(F.lit(at).alias("at"), "added_to_kb").agg(F.count("*").alias("n"))
+    return count(before, "before").unionByName(count(after, "after"))
 
 
 def stream_dedup(s, d):
@@ -106,8 +141,10 @@ def stream_dedup(s, d):
 
 
 def stream_context(s, d):
+    """Context as state: the same turns and histories as the window over the whole table."""
     role = F.lower(F.trim("role"))
-    rows = live.stream_of(s, d, "messages").filter(role.isin("user", "human")).select(F.col("chat_id").alias("conv_id"), F.col("id").alias("turn"), F.coalesce("content", F.lit("")).alias("question"), F.lit("ok").alias("answer"))
+    who = F.when(role.isin("user", "human"), "q").when(role.isin("bot", "assistant", "ai"), "a")
+    rows = live.stream_of(s, d, "messages").select(F.col("chat_id").alias("conv_id"), "id", who.alias("who"), "content").filter("who IS NOT NULL")
     return live.drained(live.running_context(rows, 2), "stream-context").select("conv_id", "turn", F.sha2("history", 256).alias("hash"))
 
 
@@ -127,7 +164,16 @@ SELECT id AS bot_run_id, bot_id, items_found, items_added, coalesce(found, 0) AS
 SELECT row_number() OVER (ORDER BY src, idx) - 1 AS idx, input, value, src FROM a"""),
     "bad_refs": (bad_refs, "SELECT id, raw_data_id FROM approved_data WHERE raw_data_id IS NOT NULL AND raw_data_id NOT IN (SELECT id FROM raw_data WHERE status <> 'rejected')"),
     "page_hosts": (page_hosts, r"SELECT nullif(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '') AS host, count(*) AS pages FROM crawled_pages GROUP BY 1"),
-    "page_links": (page_links, r"WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '') AS host, CASE WHEN url IS NULL THEN NULL ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS path FROM crawled_pages) SELECT page_id, host, path, CASE WHEN path IS NULL THEN NULL ELSE CAST(len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS INTEGER) END AS depth FROM p"),
+    "page_links": (page_links, r"WITH p AS (SELECT page_id, url FROM crawled_pages WHERE url IS NOT NULL) SELECT page_id, regexp_replace(url, '[^/]*$', '') AS link FROM p UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/') FROM p UNION ALL SELECT page_id, url || '#top' FROM p"),
+    "crawl_reach": (crawl_reach, r"""WITH RECURSIVE p AS (SELECT DISTINCT url FROM crawled_pages WHERE url IS NOT NULL),
+up AS (SELECT url AS src, regexp_replace(url, '[^/]*$', '') AS dst FROM p UNION SELECT url, regexp_extract(url, '^[a-z]+://[^/]+/') FROM p),
+l AS (SELECT src, dst FROM up UNION SELECT dst, src FROM up),
+r AS (SELECT min(url) AS url, 0 AS depth FROM p GROUP BY lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))
+ UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.url WHERE r.depth < 2)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1"""),
+    "process_pending": (process_pending, None),
+    "process_counts": (process_counts, None),
+    "approved_marked": (approved_marked, "SELECT 'before' AS at, added_to_kb, count(*) AS n FROM approved_data GROUP BY 2 UNION ALL SELECT 'after', true, count(*) FROM approved_data"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT sha256(content) AS hash FROM raw_data"),
-    "stream_context": (stream_context, None),
+    "stream_context": (stream_context, CHATS + HIST.format(2) + f"SELECT conv_id, turn, sha256({QA}) AS hash FROM h"),
 }

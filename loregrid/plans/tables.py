@@ -118,11 +118,52 @@ def browse_page(s, d):
     return tb.page(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), 100, 100, "o_orderkey")
 
 
+# Names of types as a table browser shows them.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
 def browse_schema(s, d):
     """Columns and types as the table browser lists them, with the number of rows."""
     df = table(s, d, "lineitem")
-    n = df.agg(F.count("*").alias("n"))
-    return n.select(F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("cid", "name"), F.col("n").alias("total"))
+    columns = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(TYPE_NAMES.get(t, t.upper())).alias("type")) for c, t in df.dtypes])
+    return df.agg(F.count("*").alias("n")).select(F.posexplode(columns).alias("cid", "c"), F.col("n").alias("total")).select("cid", "c.name", "c.type", "total")
+
+
+def chat_messages(s, d):
+    """The messages of every chat in their order of storing; one chat is its filter."""
+    return table(s, d, "messages").select("chat_id", "id", "role", "content", "timestamp").distinct().orderBy("chat_id", "id")
+
+
+def training_import(s, d):
+    """Training items as JSON that leaves out what is the default, read back by the rules of the import."""
+    from loregrid.sources.examples import as_examples, training_items
+
+    rows = table(s, d, "examples").filter("input IS NOT NULL AND output.value IS NOT NULL")
+    item = F.struct("input", F.col("output.value").alias("output"), F.when(F.col("output.format") == "Markdown", "markdown").alias("format"), F.when(F.col("weight") != 1, F.col("weight").cast("double")).alias("weight"))
+    out = as_examples(training_items(rows.select(F.to_json(item).alias("value"))))
+    return out.select("input", "output.format", "output.value", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
+def collection_sizes(s, d):
+    """Collections with the number of their entries, empty ones included: runs and the pairs approved from them."""
+    entries = table(s, d, "approved_data").join(table(s, d, "raw_data").select(F.col("id").alias("raw_data_id"), "bot_run_id"), "raw_data_id")
+    runs = table(s, d, "bot_runs").select(F.col("id").alias("bot_run_id"), "bot_id").distinct()
+    sizes = entries.groupBy("bot_run_id").agg(F.count("*").alias("entries"))
+    return runs.join(sizes, "bot_run_id", "left").fillna(0, ["entries"])
+
+
+def reject_raw(s, d):
+    """Pending rows whose hash is missing or not that of their content are rejected."""
+    raw = table(s, d, "raw_data").select("id", "status", "content", "content_hash")
+    off = ~F.coalesce(F.lower(F.trim("content_hash")) == F.sha2("content", 256), F.lit(False))
+    return tb.updated(raw, (F.col("status") == "pending") & off, status=F.lit("rejected")).select("id", "status")
+
+
+def chat_archive(s, d):
+    """Untitled chats are archived, blank titles take the name of a new chat."""
+    last = table(s, d, "chats").groupBy("id").agg(F.max_by(F.struct("title", "archived"), F.struct("updated_at", "title")).alias("c")).select("id", "c.*")
+    blank = F.coalesce(F.trim("title") == "", F.lit(True))
+    return tb.updated(last, blank, archived=F.lit(True), title=F.lit("New Chat"))
 
 
 def tsv_import(s, d):
@@ -138,7 +179,9 @@ def export_json(s, d):
     from loregrid.sources.examples import tagged_json
 
     kb = table(s, d, "examples").select("idx", "input", "output", "weight", "metadata")
-    return tagged_json(kb).select("idx", F.get_json_object("value", "$.input").alias("input"), F.get_json_object("value", "$.weight").cast("float").alias("weight"))
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    rows = tagged_json(kb).select("idx", field("input").alias("input"), F.coalesce(field("output.Text"), field("output.Markdown")).alias("text"), field("weight").cast("float").alias("weight"), field("metadata").isNotNull().alias("described"))
+    return rows.orderBy(F.desc("idx"))
 
 
 QUERIES = {
@@ -162,7 +205,12 @@ QUERIES = {
     "pending_raw": (pending_raw, "SELECT id, bot_run_id, title FROM raw_data WHERE status = 'pending'"),
     "unadded": (unadded, "SELECT id, input, weight FROM approved_data WHERE NOT added_to_kb"),
     "browse_page": (browse_page, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100"),
-    "browse_schema": (browse_schema, "SELECT CAST(ordinal_position - 1 AS INTEGER) AS cid, column_name AS name, (SELECT count(*) FROM lineitem) AS total FROM information_schema.columns WHERE table_name = 'lineitem'"),
+    "browse_schema": (browse_schema, "SELECT CAST(ordinal_position - 1 AS INTEGER) AS cid, column_name AS name, data_type AS type, (SELECT count(*) FROM lineitem) AS total FROM information_schema.columns WHERE table_name = 'lineitem'"),
     "tsv_import": (tsv_import, r"WITH l AS (SELECT regexp_replace(concat_ws(chr(9), input, regexp_replace(output, '[\t\n\r]', ' ', 'g'), 'x'), '^\s+|\s+$', '', 'g') AS line FROM approved_data), f AS (SELECT trim(string_split(line, chr(9))[1]) AS input, trim(coalesce(string_split(line, chr(9))[2], '')) AS output FROM l WHERE line <> '' AND NOT starts_with(line, '#')) SELECT strlen(input) >= 2 AND strlen(output) >= 2 AS ok, count(*) AS n, CAST(sum(length(output)) AS BIGINT) AS chars FROM f GROUP BY 1"),
-    "export_json": (export_json, "SELECT idx, coalesce(input, '') AS input, weight FROM examples"),
+    "export_json": (export_json, "SELECT idx, coalesce(input, '') AS input, CASE WHEN output.format <> 'Json' THEN coalesce(output.value, '') END AS text, weight, metadata IS NOT NULL AS described FROM examples ORDER BY idx DESC"),
+    "chat_messages": (chat_messages, "SELECT DISTINCT chat_id, id, role, content, timestamp FROM messages ORDER BY chat_id, id"),
+    "training_import": (training_import, "SELECT input, CASE WHEN output.format = 'Markdown' THEN 'Markdown' ELSE 'Text' END AS format, output.value AS value, round(CAST(weight AS DOUBLE), 4) AS weight FROM examples WHERE input IS NOT NULL AND output.value IS NOT NULL"),
+    "collection_sizes": (collection_sizes, "WITH e AS (SELECT bot_run_id, count(*) AS entries FROM approved_data a JOIN raw_data r ON r.id = a.raw_data_id GROUP BY 1) SELECT DISTINCT id AS bot_run_id, bot_id, coalesce(entries, 0) AS entries FROM bot_runs LEFT JOIN e ON e.bot_run_id = id"),
+    "reject_raw": (reject_raw, "SELECT id, CASE WHEN status = 'pending' AND NOT coalesce(lower(trim(content_hash)) = sha256(content), false) THEN 'rejected' ELSE status END AS status FROM raw_data"),
+    "chat_archive": (chat_archive, "WITH l AS (SELECT id, arg_max({'t': title, 'a': archived}, {'u': updated_at, 't': title}) AS c FROM chats GROUP BY 1) SELECT id, CASE WHEN coalesce(trim(c.t) = '', true) THEN 'New Chat' ELSE c.t END AS title, CASE WHEN coalesce(trim(c.t) = '', true) THEN true ELSE c.a END AS archived FROM l"),
 }

@@ -64,6 +64,33 @@ def read_kb_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("r.input", F.struct(fmt.alias("format"), value.alias("value")).alias("output"), "r.weight", "r.metadata")
 
 
+def training_items(lines: DataFrame) -> DataFrame:
+    """(category_id, input, output, format, weight) of JSON objects (value): format is text and weight 1 where they are left out.
+
+    An object without input or output is an error, as is what is no object.
+    """
+    item = F.from_json("value", "struct<input:string,output:string,format:string,weight:double,category_id:bigint>")
+    rows = lines.select("value", item.alias("r"))
+    sound = F.col("r.input").isNotNull() & F.col("r.output").isNotNull()
+    rows = rows.withColumn("r", F.when(sound, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("no training item: "), F.coalesce("value", F.lit("null"))))))
+    return rows.select("r.category_id", "r.input", "r.output", F.coalesce("r.format", F.lit("text")).alias("format"), F.coalesce("r.weight", F.lit(1.0)).alias("weight"))
+
+
+def as_examples(items: DataFrame) -> DataFrame:
+    """(input, output, weight) of training items; only markdown keeps its format, all else is text."""
+    fmt = F.when(F.col("format") == "markdown", "Markdown").otherwise("Text")
+    return items.select("input", F.struct(fmt.alias("format"), F.col("output").alias("value")).alias("output"), F.col("weight").cast("float").alias("weight"))
+
+
+def document_text(pages: DataFrame) -> DataFrame:
+    """(file, text) of pages (file, page_number, text): each page cleaned, those of a file joined in order by blank lines."""
+    from loregrid.functions.arrow import clean_text
+
+    rows = pages.select("file", "page_number", clean_text(F.col("text")).alias("text")).filter("text <> ''")
+    texts = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
+    return texts.select("file", F.array_join("pages.text", "\n\n").alias("text"))
+
+
 def tsv_pairs(lines: DataFrame) -> DataFrame:
     """(input, output, ok) of lines (value): trimmed, blank lines and comments gone; ok needs two fields of 2 bytes or more."""
     edge = r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$"
