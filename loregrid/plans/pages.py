@@ -10,6 +10,7 @@ from loregrid.operators import pipeline
 from loregrid.operators import tables as tb
 from loregrid.operators.crawl import reached
 from loregrid.plans.retrieval import CHATS, HIST, QA
+from loregrid.plans.texts import CLEAN, QUESTION
 from loregrid.session import table
 from loregrid.streaming import live
 
@@ -148,14 +149,30 @@ def stream_context(s, d):
     return live.drained(live.running_context(rows, 2), "stream-context").select("conv_id", "turn", F.sha2("history", 256).alias("hash"))
 
 
+_ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ax.PAGE_ABBREVIATIONS)
+# texts as pages are cleaned, cut at a sentence, and taken apart into sentences
+SAID = rf"""WITH c AS (SELECT page_id, trim(title) AS title, {CLEAN} AS text FROM crawled_pages WHERE content IS NOT NULL),
+h AS (SELECT *, CASE WHEN strlen(text) > 500 THEN substring(text, 1, list_max(list_filter(range(125, 501), lambda k: strlen(substring(text, 1, k)) <= 500))) END AS head FROM c),
+t AS (SELECT page_id, title, text, CASE WHEN head IS NULL THEN text WHEN regexp_matches(head, '[.!?] ') THEN regexp_extract(head, '(?s)^(.*[.!?]) ', 1)
+  WHEN contains(head, ' ') THEN regexp_extract(head, '(?s)^(.*) ', 1) || '...' ELSE head || '...' END AS cut FROM h),
+p AS (SELECT page_id, unnest(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS i FROM t),
+g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(piece, '(?:{_ABBREVIATED})$') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM p),
+s AS (SELECT page_id, g, regexp_replace(string_agg(piece, '' ORDER BY i), '^\s+|\s+$', '', 'g') AS said FROM g GROUP BY 1, 2),
+n AS (SELECT page_id, said, row_number() OVER (PARTITION BY page_id ORDER BY g) AS n FROM s WHERE said <> '' AND strlen(said) >= 20),
+two AS (SELECT a.page_id, CAST((a.n - 1) / 2 AS INTEGER) AS "at", a.said AS asked, b.said AS output FROM n a JOIN n b ON a.page_id = b.page_id AND a.n % 2 = 1 AND b.n = a.n + 1),
+sentence AS (SELECT page_id, "at", {QUESTION.replace("{0}", "asked")} AS input, output FROM two),
+summary AS (SELECT page_id, unnest(CASE WHEN ends_with(title, '?') THEN ['Was ist ' || title || '?'] ELSE ['Was ist ' || title || '?', title || '?'] END) AS input, cut AS output FROM t WHERE strlen(title) >= 3 AND strlen(cut) >= 20),
+first AS (SELECT page_id, arg_min(said, g) AS said FROM s WHERE said <> '' GROUP BY 1)
+"""
+
 QUERIES = {
     "hash_dedup": (hash_dedup, "SELECT min(page_id) AS page_id, sha256(content) AS hash FROM crawled_pages WHERE content IS NOT NULL AND sha256(content) NOT IN (SELECT sha256(content) FROM raw_data WHERE content IS NOT NULL) GROUP BY 2 UNION ALL SELECT page_id, NULL FROM crawled_pages WHERE content IS NULL"),
     "qa_heading": (qa_heading, None),
-    "qa_paragraph": (qa_paragraph, None),
-    "qa_sentence": (qa_sentence, None),
-    "truncate_sentence": (truncate_sentence, None),
-    "qa_summary": (qa_summary, None),
-    "qa_pipeline": (qa_pipeline, None),
+    "qa_paragraph": (qa_paragraph, SAID + f"SELECT page_id, 0 AS at, {QUESTION.replace('{0}', 'said')} AS input, cut AS output FROM t JOIN first USING (page_id) WHERE strlen(text) >= 20 AND strlen(said) >= 20 AND length(said) < length(text)"),
+    "qa_sentence": (qa_sentence, SAID + 'SELECT page_id, "at", input, output FROM sentence'),
+    "truncate_sentence": (truncate_sentence, SAID + "SELECT page_id, cut AS text FROM t UNION ALL SELECT page_id, NULL FROM crawled_pages WHERE content IS NULL"),
+    "qa_summary": (qa_summary, SAID + "SELECT page_id, input, output FROM summary"),
+    "qa_pipeline": (qa_pipeline, SAID + ", b AS (SELECT page_id, input, output FROM sentence UNION ALL SELECT page_id, input, output FROM summary), u AS (SELECT sha256(concat_ws(':', input, output)) AS hash, min({'page_id': page_id, 'input': input, 'output': output}) AS p FROM b GROUP BY 1) SELECT hash, p.page_id AS page_id, p.input AS input, p.output AS output FROM u"),
     "run_stats": (run_stats, """WITH r AS (SELECT DISTINCT id, bot_id, items_found, items_added FROM bot_runs),
 f AS (SELECT bot_run_id, count(*) AS found, sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS added FROM raw_data GROUP BY 1)
 SELECT id AS bot_run_id, bot_id, items_found, items_added, coalesce(found, 0) AS found, CAST(coalesce(added, 0) AS BIGINT) AS added, coalesce(coalesce(found, 0) <> items_found, true) AS "off" FROM r LEFT JOIN f ON f.bot_run_id = id"""),

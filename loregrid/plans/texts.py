@@ -147,6 +147,10 @@ EDGE = r"'^[\s\x{00a0}\x{2000}-\x{200a}\x{3000}]+|[\s\x{00a0}\x{2000}-\x{200a}\x
 _WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LINE = rf"list_transform(regexp_split_to_array(content, '\r?\n'), lambda x: regexp_replace(regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g'))"
 _ODD = rf"length(regexp_replace(content, '[\p{{L}}\p{{Nl}}\p{{N}}\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]|{_WS}', '', 'g')) / length(content) > 0.10 OR length(regexp_replace(content, '[^\x{{FFFD}}]', '', 'g')) / length(content) > 0.10"
+# a stored content, cleaned; a sentence (column {0}) as a question
+CLEAN = f"CASE WHEN length(content) = 0 OR ({_ODD}) THEN '' ELSE array_to_string(list_filter({_LINE}, lambda x: x <> ''), chr(10)) END"
+_ASKED = "regexp_replace(rtrim(rtrim(regexp_replace({0}, " + EDGE + ", '', 'g'), '.'), '!'), " + EDGE + ", '', 'g')"
+QUESTION = f"CASE WHEN ends_with({_ASKED}, '?') OR {_ASKED} = '' THEN {_ASKED} WHEN regexp_matches(lower({_ASKED}), '^(wir |unser|die |das |der )') THEN 'Was bedeutet: ' || {_ASKED} || '?' ELSE 'Was ist ' || {_ASKED} || '?' END"
 _JUNK = "|".join(p.replace(".", r"\.") for p in tx.JUNK_PHRASES)
 
 QUERIES = {
