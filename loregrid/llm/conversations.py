@@ -78,13 +78,16 @@ def turns(messages: DataFrame) -> DataFrame:
     belong to no conversation and are dropped. Messages without any time before them stand first.
     """
     m = messages.select("id", "chat_id", "role", "content", F.col("timestamp").alias("ts")).filter("chat_id IS NOT NULL")
+    # contents are only ever compared with their neighbours: a hash and a length stand for them, not to move texts
+    text = F.regexp_replace(F.coalesce("content", F.lit("")), f"^{_BLANK}+|{_BLANK}+$", "")
+    said = F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
     m = m.select(
         "id",
         "chat_id",
         "ts",
         speaker(F.col("role")).alias("speaker"),
         visible(F.col("content")).alias("shows"),
-        F.sha2(F.regexp_replace(F.coalesce("content", F.lit("")), f"^{_BLANK}+|{_BLANK}+$", ""), 256).alias("said"),
+        said.alias("said"),
         F.lower(F.trim("role")).alias("spelled"),
     )
     m = written(_filled_times(fold_events(m, "id", ["ts", "said"])), "messages")

@@ -77,11 +77,13 @@ def _running(lines: DataFrame) -> DataFrame:
     edge = written(edge, "page-edges")
     keys = edge.filter((F.length("key") >= 3) & ~F.col("number")).select("pdf_id", "zone", "key", "page_number").distinct()
     keys = keys.groupBy("pdf_id", "zone", "key").agg(F.count("*").alias("pages")).filter("pages >= 2").select("pdf_id", "zone", F.col("key").alias("header"))
-    # Files have few headers; edges are compared with those of their own file only, misread ones within a few glyphs.
-    near = edge.filter("NOT number").join(keys, ["pdf_id", "zone"])
-    limit = F.greatest(F.lit(1), F.floor(F.length("header") * 0.2)).cast("int")
-    same = (F.col("key") == F.col("header")) | ((F.abs(F.length("key") - F.length("header")) <= limit) & (F.levenshtein("key", "header", 12) >= 0) & (F.levenshtein("key", "header") <= limit) & (F.length("header") >= 8))
-    matched = near.filter(same).select("page_id", "line_no").distinct()
+    # Distinct edges are compared with the headers of their own file and zone, misread ones within a few glyphs.
+    edges = edge.filter("NOT number")
+    near = edges.select("pdf_id", "zone", "key").distinct().join(keys, ["pdf_id", "zone"])
+    close = F.expr("length(header) >= 8 AND levenshtein(key, header, CAST(least(12, greatest(1, floor(length(header) * 0.2))) AS INT)) >= 0")
+    limit = F.greatest(F.lit(1), F.floor(F.length("header") * 0.2))
+    same = (F.col("key") == F.col("header")) | ((F.abs(F.length("key") - F.length("header")) <= limit) & close)
+    matched = edges.join(near.filter(same).select("pdf_id", "zone", "key").distinct(), ["pdf_id", "zone", "key"], "left_semi").select("page_id", "line_no")
     out = edge.filter("number").select("page_id", "line_no").unionByName(matched)
     return out.distinct()
 

@@ -219,6 +219,14 @@ def test_misread_at_line_ends(spark):
     assert (text[15], text[16], text[17]) == ("valley grinds of the old grain", "every day the old grain.", "the old mill-")
 
 
+def test_misread_forms_are_chosen_by_their_neighbours(spark):
+    body = ["we saw the modern house of glass on the hill"] * 9 + ["she has a modem for the network in the hall"] * 6
+    odd = ["today the moclem house of glass is closed", "there is a moclern for the network in the box"]
+    pages = spark.createDataFrame([(1, 1, None, 1, "\n".join([*body, *odd, *body]))], PAGE)
+    text = {r.line_no: r.text for r in scan_repair.repaired_lines(pages).collect()}
+    assert (text[16], text[17]) == ("today the modern house of glass is closed", "there is a modem for the network in the box")
+
+
 def test_paragraphs(spark):
     text1 = "The grain of the valley is ground at the old mill and the con-\nsignment leaves by boat.\n\nA second paragraph runs on over the\nend of the page and does not"
     text2 = "stop before the well-\nknown bridge is reached by all."
