@@ -81,6 +81,15 @@ def fit(sizes: list[int], capacity: int, order: Iterable[int] | None = None) ->
     return bins
 
 
+class Choices:
+    """Items, or pairs of items of one bin, sorted by what they measure, which no step changes."""
+
+    def __init__(self, size: np.ndarray, number: np.ndarray, one: np.ndarray, two: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+        order = np.argsort(size, kind="stable")
+        self.size, self.number, self.one = size[order], number[order], one[order]
+        self.two, self.of = (None, None) if two is None else (two[order], of[order])
+
+
 class Bins:
     """The state of a local search: which bin each item is in, and how full each bin is."""
 
@@ -91,22 +100,31 @@ class Bins:
         for k, b in enumerate(bins):
             self.of[b] = k
         self.fill = np.bincount(self.of, sizes, len(bins)).astype(np.int64)
+        # of bins in use
+        self.room = np.where(self.fill > 0, capacity - self.fill, -1)
 
     def place(self, item: int, to: int) -> None:
         old = self.of[item]
         self.items[old].discard(item)
         self.items[to].add(item)
-        self.fill[old] -= self.size[item]
-        self.fill[to] += self.size[item]
+        for b, change in ((old, -self.size[item]), (to, self.size[item])):
+            self.fill[b] += change
+            self.room[b] = self.capacity - self.fill[b] if self.fill[b] else -1
         self.of[item] = to
 
-    def move(self, a: int, home: int) -> bool:
+    def most_room(self, home: int) -> int:
+        """The most room of another bin in use."""
+        own, self.room[home] = self.room[home], -1
+        most = int(self.room.max())
+        self.room[home] = own
+        return most
+
+    def move(self, a: int, home: int, most: int) -> bool:
         """Item a into the fullest bin that takes it."""
-        room = self.capacity - self.fill
-        fits = (room >= self.size[a]) & (self.fill > 0)
-        fits[home] = False
-        if not fits.any():
+        if most < self.size[a]:
             return False
+        fits = self.room >= self.size[a]
+        fits[home] = False
         to = int(np.argmax(np.where(fits, self.fill, -1)))
         # as full a bin as this one must gain at least what this one loses
         if self.size[a] + self.fill[to] - self.fill[home] <= 0:
@@ -114,42 +132,50 @@ class Bins:
         self.place(a, to)
         return True
 
-    def exchange(self, a: int, home: int, pool: np.ndarray) -> bool:
+    def _best(self, size: int, home: int, most: int, by_size: Choices) -> tuple[int, int]:
+        """What a choice is worth that is smaller than `size` by at most the room of its bin, and its number; the best, first one."""
+        # most is no less than any room, so that what lies outside of the window is no choice
+        x, y = by_size.size.searchsorted((size - most, size))
+        if x >= y:
+            return 0, -1
+        gain = size - by_size.size[x:y]
+        of = self.of[by_size.one[x:y]]
+        ok = (gain <= self.room[of]) & (of != home)
+        if by_size.two is not None:
+            # both must still be where they were
+            ok &= (of == by_size.of[x:y]) & (self.of[by_size.two[x:y]] == of)
+        at = ok.nonzero()[0]
+        if not len(at):
+            return 0, -1
+        gain = gain[at]
+        worth = gain * (self.fill[of[at]] - self.fill[home] + gain)
+        best = int(worth.max())
+        return best, int(by_size.number[x + at[worth == best]].min())
+
+    def exchange(self, a: int, home: int, most: int, pool: Choices) -> bool:
         """Item a for a smaller one of a fuller bin, the exchange that increases squared fill most."""
-        of = self.of[pool]
-        gain = self.size[a] - self.size[pool]
-        ok = (gain > 0) & (gain <= (self.capacity - self.fill)[of]) & (of != home)
-        worth = np.where(ok, gain * (self.fill[of] - self.fill[home] + gain), 0)
-        best = int(np.argmax(worth)) if len(worth) else 0
-        if not len(worth) or worth[best] <= 0:
+        worth, b = self._best(int(self.size[a]), home, most, pool)
+        if worth <= 0:
             return False
-        b, to = int(pool[best]), int(of[best])
+        to = int(self.of[b])
         self.place(a, to)
         self.place(b, home)
         return True
 
-    def two_for_one(self, a: int, home: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bool:
+    def two_for_one(self, a: int, home: int, most: int, pairs: tuple[Choices, np.ndarray, np.ndarray]) -> bool:
         """Item a for two items of a fuller bin that are smaller together."""
-        x, y, of = pairs
-        if not len(x):
+        choices, x, y = pairs
+        worth, best = self._best(int(self.size[a]), home, most, choices)
+        if worth <= 0:
             return False
-        both = self.size[x] + self.size[y]
-        gain = self.size[a] - both
-        ok = (gain > 0) & (gain <= (self.capacity - self.fill)[of]) & (of != home) & (self.of[x] == of) & (self.of[y] == of)
-        worth = np.where(ok, gain * (self.fill[of] - self.fill[home] + gain), 0)
-        best = int(np.argmax(worth))
-        if worth[best] <= 0:
-            return False
-        self.place(a, int(of[best]))
+        self.place(a, int(self.of[x[best]]))
         self.place(int(x[best]), home)
         self.place(int(y[best]), home)
         return True
 
-
-    def one_for_two(self, home: int, pool: np.ndarray) -> bool:
+    def one_for_two(self, home: int, most: int, pool: Choices) -> bool:
         """Two items for one of a fuller bin that is smaller than both together."""
         own = sorted(self.items[home], key=lambda i: (-self.size[i], i))
-        of, room = self.of[pool], (self.capacity - self.fill)[self.of[pool]]
         best, chosen, tried = 0, None, set()
         for k, x in enumerate(own):
             for y in own[:k]:
@@ -157,11 +183,9 @@ class Bins:
                 if both in tried:
                     continue
                 tried.add(both)
-                gain = both - self.size[pool]
-                worth = np.where((gain > 0) & (gain <= room) & (of != home), gain * (self.fill[of] - self.fill[home] + gain), 0)
-                at = int(np.argmax(worth)) if len(worth) else 0
-                if len(worth) and worth[at] > best:
-                    best, chosen = int(worth[at]), (x, y, int(pool[at]), int(of[at]))
+                worth, b = self._best(both, home, most, pool)
+                if worth > best:
+                    best, chosen = worth, (x, y, b, int(self.of[b]))
         if chosen is None:
             return False
         x, y, b, to = chosen
@@ -204,19 +228,23 @@ def improve(sizes: list[int], bins: list[list[int]], capacity: int, rounds: int
         slack = np.flatnonzero((state.fill > 0) & (state.fill < capacity))
         if not len(slack) or in_use() <= least:
             break
-        pool = np.flatnonzero(np.isin(state.of, slack))
-        pairs = _pairs(state, slack)
+        items = np.flatnonzero(np.isin(state.of, slack))
+        pool = Choices(size[items], items, items)
+        x, y, of = _pairs(state, slack)
+        pairs = (Choices(size[x] + size[y], np.arange(len(x)), x, y, of), x, y)
         for home in slack[np.argsort(state.fill[slack], kind="stable")].tolist():
             if in_use() <= least:
                 break
+            most = state.most_room(home)
             for a in sorted(state.items[home], key=lambda i: (-sizes[i], i)):
                 if state.of[a] != home:
                     continue
-                kind = "move" if state.move(a, home) else "exchange" if state.exchange(a, home, pool) else "two for one" if state.two_for_one(a, home, pairs) else None
+                kind = "move" if state.move(a, home, most) else "exchange" if state.exchange(a, home, most, pool) else "two for one" if state.two_for_one(a, home, most, pairs) else None
                 if kind:
+                    most = state.most_room(home)
                     steps[kind] += 1
                     changed = True
-            if state.fill[home] and state.one_for_two(home, pool):
+            if state.fill[home] and state.one_for_two(home, most, pool):
                 steps["one for two"] += 1
                 changed = True
     return [sorted(b) for b in state.items if b]

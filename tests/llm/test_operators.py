@@ -365,6 +365,23 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve(sizes, [[0, 1, 2], [3, 4], [5, 6]], 100, rounds=10)) == 2
 
 
+def test_exchanges_look_at_sizes_that_fit_only():
+    import numpy as np
+
+    random.seed(14)
+    for _ in range(40):
+        sizes = np.array([random.randint(0, 60) for _ in range(50)], np.int64)
+        state = packing.Bins(sizes, packing.fit([int(x) for x in sizes], 100), 100)
+        pool = packing.Choices(sizes, np.arange(50), np.arange(50))
+        home = int(np.argmin(state.fill))
+        most = state.most_room(home)
+        for size in range(1, 90):
+            # brute force: the first of the items whose exchange increases squared fill most
+            worth = [(size - int(sizes[i])) * int(state.fill[b] - state.fill[home] + size - sizes[i]) if b != home and state.fill[b] and 0 < size - sizes[i] <= 100 - state.fill[b] else 0 for i, b in enumerate(state.of)]
+            best, found = state._best(size, home, most, pool)
+            assert max(best, 0) == max(0, *worth) and (best <= 0 or found == worth.index(best))
+
+
 def test_leakage(spark):
     random.seed(6)
     vocabulary = [a + b for a in "ka lo mi nu pe ra so tu".split() for b in "ban dor fel gim hup".split()]
