@@ -165,6 +165,20 @@ def test_dedup_near_bodies_of_random_edits(spark):
     assert len(near) > 150 and sum(got.get(i) == i % 60 + 1 for i in near) >= 0.97 * len(near)
 
 
+def test_dedup_moves_probes_packed_in_any_number_of_buckets(spark, monkeypatch):
+    line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
+    page = lambda p: "\n".join(line(p, i) for i in range(8))
+    df = spark.createDataFrame([(i, page("abcde"[i % 5]).replace("ab", f"x{i}" if i % 3 else "ab")) for i in range(1, 21)], "id long, body string")
+    found = []
+    for buckets in (1, 5):
+        monkeypatch.setattr(history_dedup, "LEAST_BUCKETS", buckets)
+        out, index = history_dedup.match(df)
+        # one row for each bucket, whatever the number of keys
+        assert index.buckets == buckets and index.firsts.count() <= buckets
+        found.append(sorted(tuple(r) for r in out.collect()))
+    assert found[0] == found[1] and len(found[0]) == 15
+
+
 def test_repeated_pages_by_runs(spark):
     line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
     page = lambda p: "\n".join(line(p, i) for i in range(8))
