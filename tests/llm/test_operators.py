@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+from array import array
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +181,36 @@ def test_dedup_moves_probes_packed_in_any_number_of_buckets(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 15
 
 
+@pytest.mark.parametrize("block", [1, 7, 1_000])
+def test_dedup_pairs_probes_with_all_owners_in_blocks(monkeypatch, block):
+    random.seed(3)
+    monkeypatch.setattr(history_dedup, "BLOCK_PAIRS", block)
+    own = sorted({(random.randint(-4, 4), random.randint(1, 30)): random.randint(1, 2) for _ in range(90)}.items())
+    probes = sorted({(random.randint(-5, 5), random.randint(1, 30)) for _ in range(60)})
+    cell = lambda values, kind="q": array(kind, values).tobytes()
+    rows = [(0, history_dedup.OWN, cell([k for (k, _), _ in x]), cell([i for (_, i), _ in x]), b"", cell([w for _, w in x], "i")) for x in (own[:40], own[40:])]
+    rows.append((0, history_dedup.PROBE, cell([k for k, _ in probes]), cell([i for _, i in probes]), b"", b""))
+    out = history_dedup._owners(5)(history_dedup._frame(rows))
+    want = Counter()
+    for k, page in probes:
+        want.update({(page, i): w for (key, i), w in own if key == k and i < page})
+    got = Counter()
+    for r in out.itertuples():
+        for page, first, w in zip(array("q", r.ids), array("q", r.firsts), array("i", r.weights)):
+            got[page, first] += w
+    assert got == want and all(page % 5 == r.bucket for r in out.itertuples() for page in array("q", r.ids))
+
+
+def test_dedup_keeps_owners_packed_and_what_is_new_only(spark):
+    line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
+    page = lambda p: "\n".join(line(p, i) for i in range(8))
+    # one word of a page is another: of its 16 segments one is new
+    df = spark.createDataFrame([(1, page("a")), (2, page("a").replace("aab", "x")), (3, page("b"))], "id long, body string")
+    index = history_dedup.match(df)[1]
+    owned = Counter(i for r in index.segments.collect() for i in array("q", bytes(r.ids)))
+    assert owned == {1: 16, 2: 1, 3: 16}
+
+
 def test_repeated_pages_by_runs(spark):
     line = lambda p, i: " ".join(f"{p}{chr(97 + i)}{chr(97 + j)}" for j in range(14))
     page = lambda p: "\n".join(line(p, i) for i in range(8))
@@ -188,6 +220,7 @@ def test_repeated_pages_by_runs(spark):
     # cuts are first ids of runs
     assert len(ranges) == 4 and all(end is None or end % 4 == 0 for _, end in ranges)
     one, four = (sorted(tuple(r) for r in history_dedup.repeated_pages(raw, n).collect()) for n in (1, 4))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst", None) in (None, "true")
     assert one == four and len(one) == 32 and all(a == (b % 8 or 8) for a, b in one)
 
 
